@@ -260,9 +260,12 @@ class Memory:
         at[at == len(self.names)] = 0
         return self.values[at], np.flatnonzero(self.names[at] != names)
 
+    def clear(self) -> None:
+        self.names, self.values = self.names[:0], self.values[:0]
+
     def put(self, names: np.ndarray, values: np.ndarray) -> None:
         if len(self.names) + len(names) > self.limit:
-            self.names, self.values = self.names[:0], self.values[:0]
+            self.clear()
         names, values = np.r_[self.names, names], np.r_[self.values, values]
         order = np.argsort(names, kind="stable")
         self.names, self.values = names[order], values[order]

@@ -3,6 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from digestlake.llm.encoding import encoding_digests
 from digestlake.llm.tables import documents
 from digestlake.llm.token_counts import token_counts
 
@@ -13,5 +14,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), TOKENIZER)
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(documents(spark, sf_dir), TOKENIZER)
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op8_bpe_encode_decode": op8_bpe_encode_decode}
 ORACLES: dict[str, str] = {}
