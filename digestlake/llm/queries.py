@@ -2,9 +2,11 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from digestlake.llm.decontaminate import contamination
 from digestlake.llm.encoding import encoding_digests
-from digestlake.llm.tables import documents
+from digestlake.llm.tables import documents, table
 from digestlake.llm.token_counts import token_counts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -18,5 +20,10 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(documents(spark, sf_dir), TOKENIZER)
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op8_bpe_encode_decode": op8_bpe_encode_decode}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op8_bpe_encode_decode": op8_bpe_encode_decode, "op9_decontaminate": op9_decontaminate}
 ORACLES: dict[str, str] = {}
