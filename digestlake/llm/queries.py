@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from digestlake.llm.decontaminate import contamination
 from digestlake.llm.encoding import encoding_digests
+from digestlake.llm.labelled import fold, labels_of
+from digestlake.llm import quality as knn
 from digestlake.llm.tables import documents, table
 from digestlake.llm.token_counts import token_counts
+from digestlake.llm.toxicity import toxicity, train
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,5 +28,19 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op8_bpe_encode_decode": op8_bpe_encode_decode, "op9_decontaminate": op9_decontaminate}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = labels_of(table(spark, sf_dir, "labels"), "toxic").where(fold(4) != 2)
+    scored = toxicity(docs, train(docs, labels))
+    return scored.select("doc_id", (F.coalesce(fold(4), F.lit(0)) == 2).alias("held_out"), "score", "predicted")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = labels_of(table(spark, sf_dir, "labels"), "quality").where(fold(5) != 0)
+    scored = knn.quality(docs, knn.train(docs, labels))
+    return scored.select("doc_id", (F.coalesce(fold(5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op8_bpe_encode_decode": op8_bpe_encode_decode, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity, "op5_quality": op5_quality}
 ORACLES: dict[str, str] = {}
