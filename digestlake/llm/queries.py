@@ -8,6 +8,7 @@ from digestlake.llm.decontaminate import contamination
 from digestlake.llm.encoding import encoding_digests
 from digestlake.llm.labelled import fold, labels_of
 from digestlake.llm import quality as knn
+from digestlake.llm import secrets
 from digestlake.llm.tables import documents, table
 from digestlake.llm.token_counts import token_counts
 from digestlake.llm.toxicity import toxicity, train
@@ -42,5 +43,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.coalesce(fold(5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op8_bpe_encode_decode": op8_bpe_encode_decode, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity, "op5_quality": op5_quality}
-ORACLES: dict[str, str] = {}
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op8_bpe_encode_decode": op8_bpe_encode_decode, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity, "op5_quality": op5_quality, "op6_secret_scans": op6_secret_scans}
+ORACLES: dict[str, str] = {"op6_secret_scans": secrets.ORACLE}
