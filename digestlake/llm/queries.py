@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from digestlake.llm.decontaminate import contamination
 from digestlake.llm.encoding import encoding_digests
 from digestlake.llm.lm import lm_scores
+from digestlake.llm import merkle
 from digestlake.llm.labelled import fold, labels_of
 from digestlake.llm import quality as knn
 from digestlake.llm import secrets
@@ -52,5 +53,9 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op8_bpe_encode_decode": op8_bpe_encode_decode, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity, "op5_quality": op5_quality, "op6_secret_scans": op6_secret_scans, "op2_lm_scores": op2_lm_scores}
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compared(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op8_bpe_encode_decode": op8_bpe_encode_decode, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity, "op5_quality": op5_quality, "op6_secret_scans": op6_secret_scans, "op2_lm_scores": op2_lm_scores, "op7_fingerprints": op7_fingerprints}
 ORACLES: dict[str, str] = {"op6_secret_scans": secrets.ORACLE}
