@@ -19,6 +19,8 @@ from digestlake.llm.words import EXACT_BYTES, Words
 
 #: A phrase ends after one word in PHRASE, and after LONGEST words at most; a section after one paragraph in SECTION.
 PHRASE, LONGEST, SECTION = 3, 8, 8
+#: The first words of a text are phrases each, so that very short texts have a tree too.
+LEAD = 8
 CODE_BYTES = 3
 
 
@@ -66,8 +68,8 @@ def trees(texts: list[str]) -> Iterator[Tree]:
         for k, raw in enumerate(some):
             a, b, at = int(words.first[k]), int(words.first[k + 1]), int(words.offset[k])
             place, picked = np.arange(b - a), chosen[a:b]
-            since = place - np.maximum.accumulate(np.where(picked, place, -1), initial=-1)[: b - a] if b > a else place
-            after = np.flatnonzero((picked | (since % LONGEST == 0))[:-1]) + 1
+            since = place - np.maximum.accumulate(np.where(picked, place, -1))
+            after = np.flatnonzero((picked | (since % LONGEST == 0) | (place < LEAD))[:-1]) + 1
             lines = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1
             cuts = np.unique(np.r_[0, words.start[a:b][after] - at, lines, len(raw)])
             cuts = cuts[cuts <= len(raw)]
