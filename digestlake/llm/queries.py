@@ -12,6 +12,7 @@ from digestlake.llm.labelled import fold, labels_of
 from digestlake.llm import quality as knn
 from digestlake.llm import secrets
 from digestlake.llm.near_dup import near_duplicates
+from digestlake.llm.substring_dedup import kept_digests
 from digestlake.llm.tables import documents, table
 from digestlake.llm.token_counts import token_counts
 from digestlake.llm.toxicity import toxicity, train
@@ -62,5 +63,9 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=4, percent=80)
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op8_bpe_encode_decode": op8_bpe_encode_decode, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity, "op5_quality": op5_quality, "op6_secret_scans": op6_secret_scans, "op2_lm_scores": op2_lm_scores, "op7_fingerprints": op7_fingerprints, "op4_near_duplicates": op4_near_duplicates}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_digests(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op8_bpe_encode_decode": op8_bpe_encode_decode, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity, "op5_quality": op5_quality, "op6_secret_scans": op6_secret_scans, "op2_lm_scores": op2_lm_scores, "op7_fingerprints": op7_fingerprints, "op4_near_duplicates": op4_near_duplicates, "op3_substring_dedup": op3_substring_dedup}
 ORACLES: dict[str, str] = {"op6_secret_scans": secrets.ORACLE}
