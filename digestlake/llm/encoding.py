@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from digestlake.llm.bpe import Memory, Pieces, Vocabulary, vocabulary
 from digestlake.llm.tables import id_and_text, slices
 from digestlake.llm.transducer import Transducer, compile_words, ragged
+from digestlake.session import stash
 
 #: Words in the lexicon: the bound of what is sent to the driver and broadcast (about 3 MB of words, 4 MB compiled).
 LEXICON_WORDS = 65_536
@@ -45,10 +46,28 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, tokenizer: str, size: int) -> list[bytes]:
+    """The most frequent words that occur at least twice, at most size.
+
+    The counts are binned by their logarithm, sixteen bins an octave; whole bins are taken from the top while they
+    fit, so that no task sends more than its share of the result.
+    """
+    counts = stash(word_counts(docs, tokenizer).where("n > 1"), "word-counts")
+    octave = F.floor(16 * F.log2("n"))
+    bins = counts.groupBy(octave.alias("bin")).count().orderBy(F.desc("bin")).collect()
+    total, least = 0, None
+    for row in bins:
+        total += row["count"]
+        if total > size:
+            break
+        least = row["bin"]
+    top = counts.where(octave >= least).select("word").collect() if least is not None else []
+    return sorted(bytes(r["word"]) for r in top)
+
+
 def lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) -> bytes:
-    """The compiled transducer of the size most frequent words (ties: by their bytes)."""
-    top = word_counts(docs, tokenizer).orderBy(F.desc("n"), F.col("word")).limit(size).collect()
-    words = [bytes(r["word"]) for r in top]
+    """The compiled transducer of the most frequent words."""
+    words = frequent_words(docs, tokenizer, size)
     ids, counts = vocabulary(tokenizer).merged(words) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
     cuts = np.split(ids, np.cumsum(counts)[:-1]) if words else []
     return compile_words({w: c.tolist() for w, c in zip(words, cuts, strict=True)})
