@@ -23,19 +23,19 @@ from digestlake.session import shuffle_partitions
 
 BACKOFF = 0.4
 #: Mean bytes of text in a pack, and of a range of names in all packs together.
-PACK_BYTES, RANGE_BYTES = 4 << 20, 24 << 20
-#: Names keep 48 bits beside those of their range.
-NAME_BYTES = 6
+PACK_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
+#: Names keep 40 bits beside those of their range: of the few million names in a range, three in a million share theirs.
+NAME_BYTES = 5
 PAIR, SINGLE = 0x61, np.uint64(0x62)
 
 
 def grams(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of all words; names of all pairs by the place of the first; which of those lie within one text.
 
-    Names are cut to the bits that travel: those of the range and 48 more.
+    Names are cut to the bits that travel: those of the range and 8 * NAME_BYTES more.
     """
     text = words.text_of()
-    rest = np.uint64(max(0, 16 - bits))
+    rest = np.uint64(max(0, 64 - 8 * NAME_BYTES - bits))
     single, pairs = mix(words.name ^ SINGLE) >> rest << rest, chain(words.name, 2, PAIR) >> rest << rest
     return single, pairs, text[:-1] == text[1:] if len(text) > 1 else np.empty(0, bool)
 
@@ -59,8 +59,8 @@ def summed(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def narrow(names: np.ndarray, bits: int) -> bytes:
-    """The 48 bits below the top bits that name the range, six bytes a name."""
-    rest = (names << np.uint64(bits)) >> np.uint64(16)
+    """The bits below the top ones, which name the range: NAME_BYTES a name."""
+    rest = (names << np.uint64(bits)) >> np.uint64(64 - 8 * NAME_BYTES)
     return rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()
 
 
@@ -122,20 +122,20 @@ def lm_scores(docs: DataFrame, alpha: float = BACKOFF) -> DataFrame:
         names, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         for some in slices(list(zip(asked, frame["counts"], strict=True)), lambda x: len(x[0]), 4 << 20):
             names, counts = summed(np.concatenate([names, *(x[0] for x in some)]), np.concatenate([counts, *(np.frombuffer(x[1], "<i4") for x in some)]))
-        told = [counts[np.searchsorted(names, x)].astype("<i4" if counts.max(initial=0) < 2**31 else "<i8").tobytes() for x in asked]
-        return pd.DataFrame({"pack": frame["pack"], "range": frame["range"], "names": frame["names"], "told": told})
+        width = 4 if counts.max(initial=0) < 2**31 else 8
+        told = [counts[np.searchsorted(names, x)].astype(f"<i{width}").tobytes() for x in asked]
+        return pd.DataFrame({"pack": frame["pack"], "range": frame["range"], "width": width, "told": told}).astype({"width": "int32"})
 
     def score(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        names, _ = pack_grams(_bytes(frame), bits)  # in the order in which it asked
         told = told.sort_values("range")
-        base = [np.uint64(r) << np.uint64(64 - bits) if bits else np.uint64(0) for r in told["range"]]
-        names = np.concatenate([np.empty(0, np.uint64), *(((widen(n) << np.uint64(16)) >> np.uint64(bits)) | b for n, b in zip(told["names"], base, strict=True))])
-        counts = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(t, "<i4" if len(t) * NAME_BYTES == 4 * len(n) else "<i8") for n, t in zip(told["names"], told["told"], strict=True))])
+        counts = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(t, f"<i{w}") for t, w in zip(told["told"], told["width"], strict=True))])
         found = list(log_scores(_bytes(frame), names, counts, total, bits, alpha))
         n, s = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.float64)
         return pd.DataFrame({"doc_id": frame["doc_id"].array, "n_words": n, "log_score": s, "mean_log_score": s / np.maximum(n, 1)})
 
     asked = dealt.groupBy("pack").applyInPandas(ask, "pack int, range int, names binary, counts binary")
-    told = asked.groupBy("range").applyInPandas(answer, "pack int, range int, names binary, told binary")
+    told = asked.groupBy("range").applyInPandas(answer, "pack int, range int, width int, told binary")
     return dealt.groupBy("pack").cogroup(told.groupBy("pack")).applyInPandas(score, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
