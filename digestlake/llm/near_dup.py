@@ -258,3 +258,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     every = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return every.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, of the document with the least doc_id in each component, one row of each such
+    document: of rows that repeat its doc_id the one with the least text, null before others. Rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, size, percent)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    row = F.struct(F.col("text").isNotNull().alias("there"), F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    one = left.where("doc_id is not null").groupBy(F.col("doc_id").cast("long")).agg(F.min(row).alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return left.where("doc_id is null").unionByName(one)
