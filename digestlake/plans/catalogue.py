@@ -1,4 +1,7 @@
 """The registered queries of the reference's own operators and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from digestlake.plans import digest_queries, lake_queries
+
+PARTS = [digest_queries.C, lake_queries.C]
+QUERIES = {name: query for part in PARTS for name, query in part.queries.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.oracles.items()}
