@@ -99,7 +99,7 @@ def best_claims(claims: DataFrame, group: list[str], first_wins: bool = True) ->
     claims: group columns, ord, statement, url.
     """
     tie = -F.col("ord") if first_wins else F.col("ord")
-    return claims.groupBy(*group).agg(F.max_by(F.struct("statement", "url"), F.struct(F.col("url").isNotNull(), F.length("statement"), tie)).alias("c")).select(*group, "c.statement", "c.url")
+    return claims.groupBy(*group).agg(F.max_by(F.struct("statement", "url"), F.struct(F.col("url").isNotNull(), F.length("statement"), tie, "statement", "url")).alias("c")).select(*group, "c.statement", "c.url")
 
 
 def probe_routes(matches: DataFrame, routes: DataFrame, cap: int, schemes: list[str]) -> DataFrame:

@@ -231,7 +231,7 @@ def tree_order(t):
 
 
 @C.query("""WITH c AS (SELECT l_orderkey, l_linenumber AS ord, strftime(l_shipdate, '%Y-%m-%d') || l_returnflag AS statement, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS url FROM lineitem),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY url IS NOT NULL DESC, length(statement) DESC, ord) AS n FROM c) SELECT l_orderkey, statement, url FROM r WHERE n = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY url IS NOT NULL DESC, length(statement) DESC, ord, statement DESC, url DESC) AS n FROM c) SELECT l_orderkey, statement, url FROM r WHERE n = 1""")
 def best_claim(t):
     rows = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("ord"), F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), "l_returnflag").alias("statement"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).alias("url"))
     return verdicts.best_claims(rows, ["l_orderkey"])
