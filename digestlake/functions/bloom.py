@@ -88,7 +88,8 @@ def merged(*filters: DataFrame) -> DataFrame:
     return every.groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
 
-def fill(words: DataFrame, m: int) -> Column | float:
+def fill(words: DataFrame, m: int) -> float:
+    """The share of bits that are set; to the power of k it is the false-positive rate of a folded filter."""
     set_bits = words.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))).first()[0]
     return set_bits / m
 

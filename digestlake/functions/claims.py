@@ -5,6 +5,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Codenames whose archive has moved to the old-releases host.
 EOL_CODENAMES = [
@@ -75,7 +76,7 @@ def evr(epoch: Column, version: Column, release: Column) -> Column:
     return F.when(F.coalesce(epoch, F.lit("0")).isin("0", ""), plain).otherwise(F.concat_ws(":", epoch, plain))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def percent_decoded(text: pd.Series) -> pd.Series:
     """Malformed escapes stay as they are; bytes that are no UTF-8 become replacement characters."""
     escape = re.compile(rb"%([0-9A-Fa-f]{2}|\+[0-9A-Fa-f])")

@@ -5,6 +5,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Digest lengths in bytes, and the names that each scheme goes by.
 DIGEST_BYTES = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64, "sha1_git": 20, "blake2s256": 32}
@@ -20,7 +21,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BLANKS = " \t\n\r\x0b\x0c"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def blake2s256(content: pd.Series) -> pd.Series:
     return content.map(lambda x: None if x is None else hashlib.blake2s(x).hexdigest())
 
