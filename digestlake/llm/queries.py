@@ -4,13 +4,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from digestlake.llm import merkle, oracles, secrets
+from digestlake.llm import quality as knn
 from digestlake.llm.decontaminate import contamination
 from digestlake.llm.encoding import encoding_digests
-from digestlake.llm.lm import lm_scores
-from digestlake.llm import merkle
 from digestlake.llm.labelled import fold, labels_of
-from digestlake.llm import quality as knn
-from digestlake.llm import secrets
+from digestlake.llm.lm import lm_scores
 from digestlake.llm.near_dup import near_duplicates
 from digestlake.llm.substring_dedup import kept_digests
 from digestlake.llm.tables import documents, table
@@ -52,7 +51,9 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(documents(spark, sf_dir))
+    """Scores to three decimals, so that the order of summation does not show."""
+    scored = lm_scores(documents(spark, sf_dir))
+    return scored.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 3).alias("mean_log_score"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +68,22 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digests(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op8_bpe_encode_decode": op8_bpe_encode_decode, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity, "op5_quality": op5_quality, "op6_secret_scans": op6_secret_scans, "op2_lm_scores": op2_lm_scores, "op7_fingerprints": op7_fingerprints, "op4_near_duplicates": op4_near_duplicates, "op3_substring_dedup": op3_substring_dedup}
-ORACLES: dict[str, str] = {"op6_secret_scans": secrets.ORACLE}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_lm_scores": op2_lm_scores,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_quality": op5_quality,
+    "op6_secret_scans": op6_secret_scans,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_bpe_encode_decode": op8_bpe_encode_decode,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLES: dict[str, str] = {
+    "op2_lm_scores": oracles.LM_SCORES,
+    "op3_substring_dedup": oracles.REPEATS,
+    "op4_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op6_secret_scans": secrets.ORACLE,
+    "op9_decontaminate": oracles.DECONTAMINATION,
+}
