@@ -5,8 +5,8 @@ each class goes on. Its MinHash samples are cut into bands, whose keys bring can
 into a parity bitmap, the odd sketch: the population count of the XOR of two sketches estimates how many samples
 differ, most precisely where few do. Candidates that the estimate does not rule out are confirmed on their full sets.
 
-Candidates are never all pairs of a bucket. A first round holds each member of a bucket against a few pivots, drawn anew
-in every band. Components of the confirmed links follow. A second round goes through the buckets whose members are still
+Candidates are never all pairs of a bucket. A first round holds each member of a bucket against two pivots, of which one is
+the most central. Components of the confirmed links follow. A second round goes through the buckets whose members are still
 in several components, and there holds members of the smaller components against all members of others, by sketches and in
 blocks of bounded size. So large groups of near copies cost a few pairs a member, and no link between components is lost.
 """
@@ -24,17 +24,16 @@ from digestlake.llm.tables import id_and_text, slices
 from digestlake.llm.words import SHINGLE_BYTES, Words, chain, mix
 from digestlake.session import stash
 
-#: 128 samples in 32 bands of 4: a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
-BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
+#: 40 bands of 5 samples: a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 = 1e-7.
+BANDS, ROWS = 40, 5
+#: Samples in all; the sketch folds every one of them.
+SAMPLES = 512
 #: Bits of an odd sketch.
-SKETCH_BITS = 1024
-#: Pivots that each member of a bucket is held against in the first round.
-PIVOTS = 2
+SKETCH_BITS = 2048
 #: Members of a bucket that one task holds against as many others in the second round.
-BLOCK = 2048
-FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
-SHIFTS = mix(np.arange(1001, SAMPLES + 1001, dtype=np.uint64))
+BLOCK = 1024
+FACTORS = (mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+SHIFTS = (mix(np.arange(1001, SAMPLES + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -52,20 +51,21 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
 
 def samples(names: np.ndarray) -> np.ndarray:
     """MinHash: the least value of every hash function over the set."""
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(names), 1024):
-        values = names[a : a + 1024, None] * FACTORS + SHIFTS
+    least = np.full(SAMPLES, np.iinfo(np.uint32).max, np.uint32)
+    short = (names >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, len(names), 512):
+        values = short[a : a + 512, None] * FACTORS
+        values += SHIFTS
         least = np.minimum(least, values.min(axis=0))
     return least
 
 
 def odd_sketches(least: np.ndarray) -> np.ndarray:
     """Parity bitmaps, one row of 64-bit words for each row of samples: every (function, value) flips a bit."""
-    at = (mix(least ^ SHIFTS) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
     n = len(least)
-    flips = np.zeros((n, SKETCH_BITS), np.uint8)
-    np.add.at(flips, (np.repeat(np.arange(n), SAMPLES), at.ravel()), 1)
-    return np.packbits(flips & 1, axis=1).view(np.uint64)
+    at = (mix(least.astype(np.uint64) << np.uint64(16) | np.arange(SAMPLES, dtype=np.uint64)) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
+    flips = np.bincount((at + np.arange(n)[:, None] * SKETCH_BITS).ravel(), minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS)
+    return np.packbits((flips & 1).astype(np.uint8), axis=1).view(np.uint64)
 
 
 def estimate(differing_bits: np.ndarray) -> np.ndarray:
@@ -75,12 +75,14 @@ def estimate(differing_bits: np.ndarray) -> np.ndarray:
 
 
 def most_bits(similarity: float) -> int:
-    """Bits that may differ for a candidate: six standard deviations beyond what the similarity gives, so that the
-    sketch turns away fewer than one in 1e8 of the pairs that are linked."""
-    differ = SAMPLES * (1 - similarity)
-    differ += 6 * np.sqrt(SAMPLES * similarity * (1 - similarity))
-    mean = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ))
-    return int(np.ceil(mean))
+    """Bits that may differ for a candidate: five standard deviations beyond what the similarity gives, so that the sketch
+    turns away fewer than one in a million of the pairs that are linked."""
+    differ = 2 * SAMPLES * (1 - similarity)
+    slope = np.exp(-2 * differ / SKETCH_BITS)
+    mean = SKETCH_BITS / 2 * (1 - slope)
+    sampling = 2 * np.sqrt(SAMPLES * similarity * (1 - similarity)) * slope
+    colliding = np.sqrt(differ**2 / SKETCH_BITS)
+    return int(np.ceil(mean + 5 * np.hypot(sampling, colliding)))
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -89,8 +91,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(shingle_sets(_texts(b), size))
-            least = np.array([samples(s) for s in sets], np.uint64).reshape(len(sets), SAMPLES)
-            keys = chain_rows(least.reshape(-1, ROWS)).reshape(-1, BANDS)
+            least = np.array([samples(s) for s in sets], np.uint32).reshape(len(sets), SAMPLES)
+            keys = chain_rows(least[:, : BANDS * ROWS].astype(np.uint64).reshape(-1, ROWS)).reshape(-1, BANDS)
             keys = mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) for s in sets], pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(odd_sketches(least).view(np.int64)), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_shingles", "node", "bands", "sketch"])
@@ -115,11 +117,24 @@ def alike(n_a, n_b, percent: int):
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """key, node, n, turn: buckets of two members or more.
+
+    turn orders a node's claim to be a pivot: how many others all its buckets hold. Where copies stem from one text, that text or
+    one near it shares most buckets with the others, and comes first in all of them.
+    """
+    bands = nodes.select("node", "n", F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    met = stash(bands.join(shared, "key"), "bands")
+    central = met.groupBy("node").agg(F.sum("held").alias("central"))
+    return stash(met.join(central, "node").select("key", "node", "n", F.struct("central", F.xxhash64("node").alias("hash")).alias("turn")), "turns")
+
+
 def pivot_pairs(bands: DataFrame, percent: int) -> DataFrame:
-    """a, b: members of buckets with two pivots of theirs, those of the least and the largest hash."""
-    turn = F.struct(F.xxhash64("node").alias("turn"), "node", "n")
-    pivots = bands.groupBy("key").agg(F.min(turn).alias("one"), F.max(turn).alias("other")).where("one.node <> other.node")
-    pivots = pivots.select("key", F.explode(F.array("one", "other")).alias("p"))
+    """a, b: members of buckets with two pivots of theirs: the most central one, and the one of the least hash."""
+    who = F.struct("node", "n")
+    pivots = bands.groupBy("key").agg(F.max_by(who, "turn").alias("one"), F.min_by(who, "turn.hash").alias("other"))
+    pivots = pivots.select("key", F.explode(F.array_distinct(F.array("one", "other"))).alias("p"))
     met = bands.join(pivots, "key").where((F.col("p.node") != F.col("node")) & alike(F.col("p.n"), F.col("n"), percent))
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
@@ -131,88 +146,129 @@ def screened(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(bits <= most).select("a", "b")
 
 
-def cross_pairs(bands: DataFrame, percent: int, most: int) -> DataFrame:
-    """a, b: members of one bucket in different components whose sizes and sketches do not rule a link out.
+def cells(bands: DataFrame) -> DataFrame:
+    """key, i, j, side, node, n, component, sketch: members of buckets that hold several components, dealt into cells.
 
-    bands: key, node, n, sketch, component. The component of a bucket's pivot is its main one. Its other members, the rest,
-    meet each other and those of the main one, in blocks; members of the main component do not meet.
+    bands: key, node, n, turn, sketch, component. The component of a bucket's pivot is its main one. Its other members, the rest,
+    meet each other and those of the main one, in blocks; members of the main component do not meet. Cell (i, -1 - j)
+    holds rest block i and main block j, cell (i, j) with i <= j rest blocks i and j. Side 0 meets side 1, and itself in (i, i).
     """
-    first = F.min(F.struct(F.xxhash64("node"), "component"))["component"]
-    mixed = bands.groupBy("key").agg(first.alias("main"), F.min("component").alias("least"), F.max("component").alias("largest")).where("least < largest").select("key", "main")
+    mixed = bands.groupBy("key").agg(F.max_by("component", "turn").alias("main"), F.min("component").alias("least"), F.max("component").alias("largest")).where("least < largest").select("key", "main")
     sides = bands.join(mixed, "key").withColumn("rest", F.col("component") != F.col("main")).select("key", "node", "rest")
     sizes = sides.groupBy("key").agg(F.count_if("rest").alias("r"), F.count_if(~F.col("rest")).alias("m"))
     blocks = sizes.select("key", F.ceil(F.col("r") / BLOCK).cast("int").alias("nr"), F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"))
     own = lambda n: F.pmod(F.xxhash64("node", "key"), n).cast("int")
     upto = lambda n, make: F.transform(F.sequence(F.lit(0), n - 1), make)
     cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
-    # cells: (i, -1 - j) rest block i with main block j; (i, j), i <= j, rest blocks i and j. side 0 meets side 1; in (i, i) side 0 meets itself
     of_rest = F.concat(
         upto(F.col("nm"), lambda j: cell(own(F.col("nr")), -1 - j, 0)),
         upto(F.col("nr"), lambda j: F.when(j >= own(F.col("nr")), cell(own(F.col("nr")), j, 0)).otherwise(cell(j, own(F.col("nr")), 1))),
     )
     of_main = upto(F.col("nr"), lambda i: cell(i, -1 - own(F.col("nm")), 1))
     dealt = bands.join(blocks, "key").join(mixed, "key").withColumn("cell", F.explode(F.when(F.col("component") != F.col("main"), of_rest).otherwise(of_main)))
-    dealt = dealt.select("key", "cell.i", "cell.j", "cell.side", "node", "n", "component", "sketch")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.select("key", "cell.i", "cell.j", "cell.side", "node", "n", "component", "sketch")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            cut = last_cell(b)
-            if cut or (held and cell_of(held[-1], held[-1].num_rows - 1) != cell_of(b, 0)):
-                yield from met(held + [b.slice(0, cut)], percent, most)
-                held = []
-            held.append(b.slice(cut))
-        yield from met(held, percent, most)
 
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+CELL = ("key", "i", "j")
 
 
-CELL = ("key", "i", "j")
+def on_cells(rows: DataFrame, make, schema: str) -> DataFrame:
+    """make over record batches that hold whole cells, sorted by cell."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in (b for b in batches if b.num_rows):
+            cut = edges_of(b, CELL)[-2]
+            if cut or (held and any(held[-1].column(c)[-1] != b.column(c)[0] for c in CELL)):
+                whole = [x for x in (*held, b.slice(0, cut)) if x.num_rows]
+                if whole:
+                    yield from make(pa.Table.from_batches(whole).combine_chunks())
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from make(pa.Table.from_batches(held).combine_chunks())
 
-def cell_of(batch: pa.RecordBatch, row: int) -> tuple:
-    return tuple(batch.column(c)[row].as_py() for c in CELL)
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, schema)
 
 
-def last_cell(batch: pa.RecordBatch) -> int:
-    """Where the last cell of the batch begins."""
-    new = np.zeros(batch.num_rows, bool)
-    for c in CELL:
-        x = batch.column(c).to_numpy(zero_copy_only=False)
+def edges_of(rows, columns: tuple) -> list[int]:
+    """Where runs of equal values begin, and the end."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in columns:
+        x = rows.column(c).to_numpy() if isinstance(rows, pa.Table) else rows.column(c).to_numpy(zero_copy_only=False)
         new[1:] |= x[1:] != x[:-1]
-    at = np.flatnonzero(new)
-    return int(at[-1]) if len(at) else 0
+    return [*np.flatnonzero(new).tolist(), rows.num_rows]
 
 
-def met(batches: list[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of whole cells."""
-    table = pa.Table.from_batches([b for b in batches if b.num_rows]) if any(b.num_rows for b in batches) else None
-    if table is None:
-        return
-    x = {c: table.column(c).to_numpy() for c in (*CELL, "side", "node", "n", "component")}
+def meetings(table: pa.Table, percent: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each cell: a row, and the rows that it may be linked with by component, size and sketch."""
+    x = {c: table.column(c).to_numpy() for c in ("i", "j", "side", "n", "component")}
     sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
-    new = np.r_[True, *((np.any([x[c][1:] != x[c][:-1] for c in CELL], axis=0),) if table.num_rows > 1 else ())]
-    edges = np.r_[np.flatnonzero(new), table.num_rows]
-    found = [np.empty((2, 0), np.int64)]
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+    edges = edges_of(table, CELL)
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         rows = np.arange(lo, hi)
         one = rows[x["side"][lo:hi] == 0]
-        other = one if x["i"][lo] == x["j"][lo] else rows[x["side"][lo:hi] == 1]
+        alone = x["i"][lo] == x["j"][lo]
+        other = one if alone else rows[x["side"][lo:hi] == 1]
         for a in one.tolist():
-            b = other[other > a] if other is one else other
+            b = other[other > a] if alone else other
             n, m = x["n"][a], x["n"][b]
             b = b[(x["component"][b] != x["component"][a]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)]
             if len(b):
                 b = b[np.bitwise_count(sketch[b] ^ sketch[a]).sum(axis=1) <= most]
-                found.append(np.stack([np.full(len(b), x["node"][a]), x["node"][b]]))
-    pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                if len(b):
+                    yield a, b
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_ids a, b of the pairs that are linked by their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
+def cross_links(bands: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, most: int) -> DataFrame:
+    """doc_ids a, b of links between components.
+
+    Members that may have a link in a cell are picked out by sketches, each once a cell; only for these are full sets
+    fetched, and held against each other within the cell. What leaves a cell are links alone, and of those only the ones
+    that join what the cell's earlier ones have not.
+    """
+    schema = "key long, i int, j int, side int, node long, n long, component long, sketch array<long>"
+
+    def pick(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        picked = np.zeros(table.num_rows, bool)
+        for a, b in meetings(table, percent, most):
+            picked[a] = picked[b] = True
+        yield from table.filter(pa.array(picked)).combine_chunks().to_batches()
+
+    def verify(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        names, ids = table.column("names").combine_chunks(), table.column("doc_id").to_pylist()
+        at, flat = names.offsets.to_numpy(), names.values.to_numpy()
+        own = lambda k: flat[at[k] : at[k + 1]]
+        parent: dict[int, int] = {}
+
+        def root(k: int) -> int:
+            while parent.setdefault(k, k) != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        found = []
+        component = table.column("component").to_pylist()
+        for a, bs in meetings(table, percent, most):
+            for b in bs.tolist():
+                if root(component[a]) != root(component[b]):
+                    both = len(np.intersect1d(own(a), own(b), assume_unique=True))
+                    if both * 100 >= (len(own(a)) + len(own(b)) - both) * percent:
+                        parent[root(component[a])] = root(component[b])
+                        found.append((ids[a], ids[b]))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    picked = stash(on_cells(cells(bands), pick, schema), "cells")
+    if picked.isEmpty():
+        return picked.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    sets = full_sets(picked.select("node").distinct(), nodes, docs, size)
+    return stash(on_cells(picked.join(sets, "node"), verify, "a long, b long"), "links")
+
+
+def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, node, names: the sorted shingle names of the wanted nodes, from their texts."""
+    ids = wanted.join(nodes.select("node", "doc_id"), "node")
     texts = docs.join(ids, "doc_id").dropDuplicates(["doc_id", "node", "text"])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +278,12 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
             whole = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "node", "names"])
             yield whole.filter(right)
 
-    sets = texts.mapInArrow(full, "doc_id long, node long, names array<long>")
+    return texts.mapInArrow(full, "doc_id long, node long, names array<long>")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_ids a, b of the pairs that are linked by their full sets."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, size)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("doc_id").alias(f"id_{c}"), F.col("names").alias(f"names_{c}"))
     both = F.size(F.array_intersect("names_a", "names_b"))
     linked = both * 100 >= (F.size("names_a") + F.size("names_b") - both) * percent
@@ -244,17 +305,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nodes = stash(full.groupBy("node").agg(first.alias("x")).select("node", "x.doc_id", F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch"), "nodes")
     same = full.select("doc_id", "node").join(nodes.select("node", F.col("doc_id").alias("rep")), "node").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     texts, most = docs.where("doc_id is not null"), most_bits(percent / 100)
-    bands = nodes.select("node", "n", F.explode("bands").alias("key"))
+    bands = shared_bands(nodes)
     pairs = stash(screened(pivot_pairs(bands, percent), nodes, most), "pairs")
     links = stash(confirmed(pairs, nodes, texts, size, percent), "links")
     labels = components(links.unionByName(same))
-    placed = nodes.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    bands = placed.select("node", "n", "sketch", "component", F.explode("bands").alias("key"))
-    pairs = stash(cross_pairs(bands, percent, most), "pairs")
-    if not pairs.isEmpty():
-        more = stash(confirmed(pairs, nodes, texts, size, percent), "links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(same).unionByName(more))
+    placed = nodes.select("node", "doc_id", "sketch").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    bands = bands.join(placed.select("node", "sketch", "component"), "node")
+    more = cross_links(bands, nodes, texts, size, percent, most)
+    if not more.isEmpty():
+        labels = components(links.unionByName(same).unionByName(more))
     every = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return every.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
