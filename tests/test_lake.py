@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from digestlake.operators import identity, intervals, observations, recipes, verdicts
-from digestlake.sources import descent, tables
+from digestlake.sources import binaries, descent, tables
 from digestlake.streaming import incremental
 
 A, B, M = "a" * 64, "b" * 64, "c" * 32
@@ -222,3 +222,26 @@ def test_stream_of_files(spark, tmp_path):
     run()
     got = {r["path"][-1]: r["sha256"] for r in incremental.current(spark, str(tmp_path / "state")).collect()}
     assert got == {"a": hashlib.sha256(b"hello").hexdigest(), "b": hashlib.sha256(b"more").hexdigest()}
+
+
+def rpm_with_header(names, digests) -> bytes:
+    lists = {1118: (8, ["/usr/", "/etc/"]), 1117: (8, names), 1035: (8, digests), 1116: (4, [k % 2 for k in range(len(names))]), 5011: (4, [8])}
+    index, store = b"", b""
+    for tag, (kind, values) in lists.items():
+        store += bytes(-len(store) % 4)
+        index += struct.pack(">4I", tag, kind, len(store), len(values))
+        store += b"".join(v.encode() + b"\0" for v in values) if kind == 8 else struct.pack(f">{len(values)}I", *values)
+    empty = b"\x8e\xad\xe8\1" + bytes(4) + struct.pack(">II", 0, 0)
+    return b"\xed\xab\xee\xdb" + bytes(92) + empty + b"\x8e\xad\xe8\1" + bytes(4) + struct.pack(">II", len(lists), len(store)) + index + store
+
+
+def test_binary_metadata(spark):
+    good = rpm_with_header(["a", "b", "d"], [A.upper(), B, ""])
+    field = lambda n, v: bytes([n << 3 | 2, len(v)]) + v if isinstance(v, bytes) else bytes([n << 3, v])
+    mapping = field(1, b"bin/x.dll\0") + field(2, 9) + field(5, bytes(range(20)))
+    body = field(1, mapping) + field(1, field(1, b"folder") + field(2, 0) + field(5, bytes(20)))
+    manifest = struct.pack("<II", binaries.MAPPINGS_MAGIC, len(body)) + body
+    files = spark.createDataFrame([("x.rpm", good), ("y.rpm", rpm_with_header(["a"], [A, B])), ("z.rpm", b"?" * 200)], "path string, content binary")
+    got = {(r["source"], r["path"], r["scheme"], r["digest"]) for r in binaries.stated_files(files, binaries.rpm_files).collect()}
+    assert got == {("x.rpm", "/usr/a", "sha256", A), ("x.rpm", "/etc/b", "sha256", B), ("y.rpm", None, None, None), ("z.rpm", None, None, None)}
+    assert binaries.manifest_files(manifest) == [("bin/x.dll", 9, bytes(range(20)).hex())]
