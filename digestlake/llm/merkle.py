@@ -1,8 +1,9 @@
-"""Document fingerprints: a Merkle tree over phrases, paragraphs and sections.
+"""Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are phrases, cut after words that a hash picks, so that an edit moves no cut but its own, and after every line
-break; a paragraph is a line; a section ends after a paragraph that its digest picks. Every node's digest is of its children's,
-a leaf's of its exact bytes: equal roots mean equal texts, and where roots differ the differing branches lead to the edit.
+A paragraph is a line; its digest is of its exact bytes. A section ends after a paragraph that its digest picks; its digest is
+of its paragraphs', and the root's of the sections'. So equal roots mean equal texts, and where roots differ the
+differing branches lead to the edit. Below paragraphs the tree keeps short codes of phrases, cut after words that
+a hash picks, so that an edit moves no cut but its own; they locate edits within paragraphs and tell how alike texts are.
 """
 
 import base64
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from digestlake.llm.tables import id_and_text, slices
-from digestlake.llm.words import EXACT_BYTES, Words
+from digestlake.llm.words import EXACT_BYTES, Words, mix
 
 #: A phrase ends after one word in PHRASE, and after LONGEST words at most; a section after one paragraph in SECTION.
 PHRASE, LONGEST, SECTION = 3, 8, 8
@@ -29,54 +30,61 @@ def _digest(data: bytes) -> bytes:
 
 
 class Tree:
-    """The fingerprint of one text. codes: the first bytes of the leaves' digests, paragraph by paragraph."""
+    """The fingerprint of one text: the digests of its sections, its paragraphs as spans of phrases, and the phrases' codes."""
 
-    def __init__(self, leaves: list[bytes], paragraph_ends: list[int]):
-        self.leaves = leaves
-        sections: list[tuple[bytes, list[tuple[int, int]]]] = []
+    def __init__(self, text: bytes, letters: str, codes: np.ndarray, cuts: list[int]):
+        """letters: four for each phrase; cuts: where the phrases of each line begin."""
+        self.letters, self.codes = letters, codes
+        self.sections: list[tuple[bytes, list[tuple[int, int]]]] = []
         own: list[bytes] = []
         spans: list[tuple[int, int]] = []
-        begin = 0
-        for end in paragraph_ends:
-            own.append(_digest(b"p" + b"".join(leaves[begin:end])))
-            spans.append((begin, end))
-            begin = end
-            if own[-1][0] % SECTION == 0 or end == len(leaves):
-                sections.append((_digest(b"s" + b"".join(own)), spans))
+        for line, span in zip(text.split(b"\n"), zip(cuts, [*cuts[1:], len(codes)], strict=True), strict=True):
+            own.append(_digest(line))
+            spans.append(span)
+            if own[-1][0] % SECTION == 0:
+                self.sections.append((_digest(b"".join(own)), spans))
                 own, spans = [], []
-        self.sections = sections
-        self.root = _digest(b"r" + b"".join(s for s, _ in sections))
+        if own:
+            self.sections.append((_digest(b"".join(own)), spans))
+        self.root = _digest(b"".join(d for d, _ in self.sections))
 
     def text(self) -> str:
-        """root;section,paragraph,paragraph...;section...: section digests in short, paragraphs as their leaves' codes."""
-        code = lambda a, b: base64.b64encode(b"".join(x[:CODE_BYTES] for x in self.leaves[a:b])).decode()
-        return self.root.hex() + "".join(";" + s[:4].hex() + "".join("," + code(a, b) for a, b in spans) for s, spans in self.sections)
-
-    def codes(self) -> np.ndarray:
-        return _codes(b"".join(x[:CODE_BYTES] for x in self.leaves))
+        """root;section,paragraph,paragraph...;section...: section digests in short, paragraphs as their phrases' codes."""
+        return self.root.hex() + "".join(";" + s[:4].hex() + "".join("," + self.letters[4 * a : 4 * b] for a, b in spans) for s, spans in self.sections)
 
 
 def _codes(raw: bytes) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8).reshape(-1, CODE_BYTES).astype(np.int32)
-    return np.sort(b[:, 0] << 16 | b[:, 1] << 8 | b[:, 2])
+    return b[:, 0] << 16 | b[:, 1] << 8 | b[:, 2]
 
 
 def trees(texts: list[str]) -> Iterator[Tree]:
     for some in slices([t.encode() for t in texts], len):
         words = Words(some, EXACT_BYTES)
-        chosen = words.name % np.uint64(PHRASE) == 0
-        for k, raw in enumerate(some):
-            a, b, at = int(words.first[k]), int(words.first[k + 1]), int(words.offset[k])
-            place, picked = np.arange(b - a), chosen[a:b]
-            since = place - np.maximum.accumulate(np.where(picked, place, -1))
-            after = np.flatnonzero((picked | (since % LONGEST == 0) | (place < LEAD))[:-1]) + 1
-            lines = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1
-            cuts = np.unique(np.r_[0, words.start[a:b][after] - at, lines, len(raw)])
-            cuts = cuts[cuts <= len(raw)]
-            edges = cuts.tolist()
-            leaves = [_digest(raw[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-            ends = np.searchsorted(cuts, np.unique(np.r_[lines, len(raw)])).tolist()
-            yield Tree(leaves, ends if leaves else [])
+        n = len(words.name)
+        first = np.repeat(words.first[:-1], np.diff(words.first))
+        breaks = np.flatnonzero(np.frombuffer(b"\n".join(some) + b"\n", np.uint8) == 10)  # the last one of a text ends it
+        line = np.searchsorted(breaks, words.start)
+        place = np.arange(n)
+        picked = words.name % np.uint64(PHRASE) == 0
+        since = place - np.maximum(np.maximum.accumulate(np.where(picked, place, -1)), first - 1) if n else place
+        ends = picked | (since % LONGEST == 0) | (place - first < LEAD)
+        starts = np.r_[True, ends[:-1] | (line[1:] != line[:-1])] if n else np.empty(0, bool)
+        begin = np.flatnonzero(starts)
+        rel = (place - begin[np.cumsum(starts) - 1]).astype(np.uint64) if n else place.astype(np.uint64)
+        names = mix(np.add.reduceat(mix(words.name + rel), begin)) if n else np.empty(0, np.uint64)
+        raw = (names >> np.uint64(40)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+        letters, codes = base64.b64encode(raw).decode(), _codes(raw)
+        own_line = line[begin]
+        own_text = np.searchsorted(begin, words.first)
+        end_break = np.searchsorted(breaks, words.offset[1:] - 1)  # of each text: its last line
+        cut_of = np.searchsorted(own_line, np.arange(len(breaks) + 1))
+        line_from = 0
+        for k, text in enumerate(some):
+            a, b = int(own_text[k]), int(own_text[k + 1])
+            cuts = (cut_of[line_from : int(end_break[k]) + 1] - a).tolist()
+            yield Tree(text, letters[4 * a : 4 * b], codes[a:b], cuts)
+            line_from = int(end_break[k]) + 1
 
 
 def likeness_of(root_a: bytes | str, codes_a: np.ndarray, root_b: bytes | str, codes_b: np.ndarray) -> float:
@@ -194,11 +202,13 @@ def compared(docs: DataFrame) -> DataFrame:
 
 def _compared(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
     made = [edited(text, after) for _, text, after in rows]
-    own, changed, next_ = trees([r[1] for r in rows]), trees(made), trees([r[2] for r in rows])
+    # in a run of rows the next text is the next row's: each text is taken apart once
+    chained = [k == len(rows) - 1 or rows[k + 1][1] is not r[2] for k, r in enumerate(rows)]
+    own, lone, changed = list(trees([r[1] for r in rows])), trees([r[2] for r, c in zip(rows, chained, strict=True) if c]), trees(made)
+    next_ = [next(lone) if c else own[k + 1] for k, c in enumerate(chained)]
     out = []
     for (doc_id, text, _), new, a, b, c in zip(rows, made, own, changed, next_, strict=True):
-        codes = a.codes()
-        near = [likeness_of(a.root, codes, x.root, x.codes()) for x in (b, c)]
+        near = [likeness_of(a.root, a.codes, x.root, x.codes) for x in (b, c)]
         out.append((doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), a.text(), b.text(), *near))
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
