@@ -1,7 +1,7 @@
 """Recipes: a container as references to blobs that others hold, and the literal bytes between; minted, checked, rebuilt.
 
-A recipe may be less compressed than it could be, never wrong: every reference is compared with the container's bytes before
-it is kept, and a rebuilt container must have its digest.
+Every reference is compared with the container's bytes before
+it is kept, so that a wrong one is never emitted, and a rebuilt container must have its digest.
 """
 
 import base64

@@ -1,4 +1,4 @@
-"""The registered queries of the reference's own operators and their DuckDB counterparts."""
+"""The registered queries of the lake's operators and their DuckDB counterparts."""
 
 from digestlake.plans import digest_queries, lake_queries, source_queries
 
