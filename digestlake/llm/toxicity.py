@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Words, pairs of neighbours and pairs with one word between (skip-grams) are hashed to SPACE places; a feature is
-there or not. Per-coordinate learning rates and L1 shrinkage leave few weights that are not zero; those are
+Words, pairs of neighbours and pairs with one word between (skip-grams) are hashed to SPACE places, and so are the stems
+of long words; a feature is there or not. Per-coordinate learning rates and L1 shrinkage leave few weights that are not zero; those are
 what is broadcast.
 """
 
@@ -18,6 +18,7 @@ from digestlake.llm.tables import id_and_text, slices
 from digestlake.llm.words import Words, chain, mix
 
 SPACE = 1 << 20
+STEM_BYTES = 4
 #: The bound of the labelled rows that are learnt from.
 TRAIN_ROWS = 8_192
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 1.0, 4
@@ -32,11 +33,27 @@ class Weights:
     bias: float
 
 
+def stems(words: Words) -> np.ndarray:
+    """Names of the first STEM_BYTES bytes of words that are longer, 0 for others."""
+    code = np.frombuffer(words.raw, np.uint8)
+    name = np.zeros(len(words.name), np.uint64)
+    long = np.flatnonzero(words.end - words.start > STEM_BYTES)
+    for k in range(STEM_BYTES):
+        name[long] = name[long] << np.uint64(8) | code[words.start[long] + k]
+    return name
+
+
 def features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashed features and the text each is of, by kind: words, pairs, skip-grams."""
+    """Hashed features and the text each is of, by kind: words, their stems, pairs, skip-grams.
+
+    Stems stand in for forms of a word that the sample does not hold.
+    """
     text = words.text_of()
     names = words.name
     skip = mix(names[:-2] * np.uint64(0xD6E8FEB86659FD93) ^ names[2:] ^ np.uint64(0x33)) if len(names) > 2 else names[:0]
+    stem = stems(words)
+    there = stem > 0
+    yield (mix(stem[there] ^ (np.uint64(0x44) << np.uint64(56))) & np.uint64(SPACE - 1)).astype(np.int32), text[there]
     for made, span in ((mix(names ^ np.uint64(0x11)), 1), (chain(names, 2, 0x22), 2), (skip, 3)):
         inside = text[: len(made)] == text[span - 1 : span - 1 + len(made)]
         yield (made[inside] & np.uint64(SPACE - 1)).astype(np.int32), text[: len(made)][inside]
