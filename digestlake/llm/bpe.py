@@ -24,7 +24,7 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 #: Words whose pieces a worker remembers; beyond it the memory starts anew.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 400_000
 
 
 def _plain() -> tuple[re.Pattern, np.ndarray]:

@@ -36,7 +36,7 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
         vocab = vocabulary(tokenizer)
         for b in batches:
             texts = [t for t in b.column("text").to_pylist() if t and vocab.is_plain(t)]
-            for some in slices(texts, len, 4 << 20):
+            for some in slices(texts, len):
                 pieces = Pieces(some)
                 words = pieces.spelled(np.arange(len(pieces.names)))
                 keep = np.fromiter(map(len, words), np.int64, len(words)) <= LEXICON_BYTES
@@ -132,7 +132,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """The place of each text and its ids as little-endian unsigned 32-bit integers; in no fixed order."""
         plain = [k for k, t in enumerate(texts) if t and self.vocab.is_plain(t)]
-        for some in slices(plain, lambda k: len(texts[k])):
+        for some in slices(plain, lambda k: len(texts[k]), 1 << 20):
             pieces = Pieces([texts[k] for k in some])
             (begin, counts), start = self.remembered(pieces), 0
             for k, end in zip(some, pieces.ends.tolist(), strict=True):

@@ -22,7 +22,7 @@ def count_tokens(texts: list[str | None], path: str) -> np.ndarray:
     vocab, memory = vocabulary(path), _memory(path)
     found = np.zeros(len(texts), np.int64)
     plain = [k for k, t in enumerate(texts) if t and vocab.is_plain(t)]
-    for some in slices(plain, lambda k: len(texts[k])):
+    for some in slices(plain, lambda k: len(texts[k]), 1 << 20):
         pieces = Pieces([texts[k] for k in some])
         counts, unknown = memory.get(pieces.names)
         if len(unknown):
