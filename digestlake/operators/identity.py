@@ -17,12 +17,12 @@ def finding_key(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
-def walk(seeds: DataFrame, findings: DataFrame, hops: int = MAX_HOPS, cap: int = MAX_EVIDENCE) -> DataFrame:
+def walk(seeds: DataFrame, findings: DataFrame, hops: int = MAX_HOPS, cap: int | None = MAX_EVIDENCE) -> DataFrame:
     """query_id, hop, scheme, digest (found_at), finding_id for all findings within reach of each query's coordinates.
 
     seeds: query_id, scheme, digest. findings: finding_id, coords (array of struct<scheme, digest>). A finding is kept once a
     query, at the coordinate that met it first. At most cap findings a query are kept, in the order of hops, then
-    coordinates and findings. Each hop joins the new coordinates to an index and is cut from its lineage.
+    coordinates and findings; all of them if cap is None. Each hop joins the new coordinates to an index and is cut from its lineage.
     """
     stated = findings.select("finding_id", F.explode("coords").alias("c")).select("finding_id", "c.scheme", "c.digest")
     order = Window.partitionBy("query_id", "finding_id").orderBy("scheme", "digest")
@@ -41,6 +41,8 @@ def walk(seeds: DataFrame, findings: DataFrame, hops: int = MAX_HOPS, cap: int =
         visited = visited.unionByName(frontier)
         if frontier.isEmpty():
             break
+    if cap is None:
+        return evidence
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "scheme", "digest", "finding_id"))
     return evidence.withColumn("_n", rank).where(F.col("_n") <= cap).drop("_n")
 
@@ -60,7 +62,7 @@ def clusters(evidence: DataFrame, findings: DataFrame, queried: DataFrame) -> Da
     """Clusters of each query's findings that share a digest of identity grade.
 
     queried: query_id, scheme, digest as asked. anchored: a digest of identity grade is known. primary: the queried
-    coordinate is among the cluster's. One query has at most MAX_EVIDENCE findings, which one group holds.
+    coordinate is among the cluster's. All findings of one query are held by one group: at most the walk's cap, if it has one.
     Order: primary, anchored, more findings, then coordinates.
     """
     rows = coordinates(evidence, findings).join(queried.select("query_id", F.col("scheme").alias("q_scheme"), F.col("digest").alias("q_digest")), "query_id")
@@ -98,10 +100,11 @@ def clusters(evidence: DataFrame, findings: DataFrame, queried: DataFrame) -> Da
     return on_whole_groups(rows, "query_id", ["hop", "finding_id"], groups, CLUSTERS)
 
 
-def statuses(found: DataFrame, evidence: DataFrame, queried: DataFrame, cap: int = MAX_EVIDENCE) -> DataFrame:
-    """query_id, clusters, collision (a weak digest with two anchored primary clusters), truncated (cap reached) for every query."""
+def statuses(found: DataFrame, evidence: DataFrame, queried: DataFrame, cap: int | None = MAX_EVIDENCE) -> DataFrame:
+    """query_id, clusters, collision (a weak digest with two anchored primary clusters), truncated (cap reached, never without one) for every query."""
     primary = found.groupBy("query_id").agg(F.count("*").alias("clusters"), F.count_if(F.col("anchored") & F.col("primary")).alias("claims"))
     size = evidence.groupBy("query_id").agg(F.count("*").alias("n"))
     told = queried.join(primary, "query_id", "left").join(size, "query_id", "left")
+    cut = F.lit(False) if cap is None else F.coalesce("n", F.lit(0)) >= cap
     weak = ~F.col("scheme").isin(*IDENTITY_GRADE)
-    return told.select("query_id", F.coalesce("clusters", F.lit(0)).alias("clusters"), (weak & (F.coalesce("claims", F.lit(0)) >= 2)).alias("collision"), (F.coalesce("n", F.lit(0)) >= cap).alias("truncated"))
+    return told.select("query_id", F.coalesce("clusters", F.lit(0)).alias("clusters"), (weak & (F.coalesce("claims", F.lit(0)) >= 2)).alias("collision"), cut.alias("truncated"))

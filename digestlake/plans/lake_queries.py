@@ -99,10 +99,11 @@ def identity_clusters(t):
 SELECT weak, count(*) AS clusters, count(*) >= 2 AS collision FROM d GROUP BY weak""")
 def weak_collisions(t):
     d = t.documents.select("doc_id", F.sha2("text", 256).alias("sha256"), F.substring(F.md5("text"), 1, WEAK).alias("weak"))
+    d = stash(d.groupBy("weak", "sha256").agg(F.min("doc_id").alias("doc_id")), "distinct")  # exact copies say the same
     findings = d.select(F.col("doc_id").alias("finding_id"), digests.coords_of({"sha256": "sha256", "md5": "weak"}).alias("coords"))
     asked = d.groupBy("weak").agg(F.min("doc_id").alias("query_id")).select("query_id", F.lit("md5").alias("scheme"), F.col("weak").alias("digest"))
-    evidence = stash(identity.walk(asked, findings, hops=1), "evidence")
-    told = identity.statuses(identity.clusters(evidence, findings, asked), evidence, asked)
+    evidence = stash(identity.walk(asked, findings, hops=1, cap=None), "evidence")
+    told = identity.statuses(identity.clusters(evidence, findings, asked), evidence, asked, cap=None)
     return told.join(asked, "query_id").select(F.col("digest").alias("weak"), "clusters", "collision")
 
 
