@@ -88,11 +88,18 @@ def crosswalk_walk(t):
 @C.query("""WITH g AS (SELECT md5(text) AS m, list(doc_id ORDER BY doc_id) AS ids, any_value(sha256(text)) AS sha256 FROM documents GROUP BY md5(text))
 SELECT d.doc_id AS query_id, len(g.ids) AS findings, sha256(array_to_string(g.ids, ',')) AS ids, true AS anchored, true AS "primary" FROM documents d JOIN g ON g.m = md5(d.text)""")
 def identity_clusters(t):
-    d = t.documents.select(F.col("doc_id").alias("finding_id"), F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), F.sha1("text").alias("sha1"))
-    findings = d.select("finding_id", digests.coords_of({"sha256": "sha256", "md5": "md5", "sha1": "sha1"}).alias("coords"))
-    asked = d.select(F.col("finding_id").alias("query_id"), F.lit("md5").alias("scheme"), F.col("md5").alias("digest"))
-    found = identity.clusters(identity.walk(asked, findings), findings, asked)
-    return found.select("query_id", F.size("finding_ids").cast("long").alias("findings"), F.sha2(F.array_join(F.transform("finding_ids", lambda x: x.cast("string")), ","), 256).alias("ids"), "anchored", "primary")
+    digest = [F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), F.sha1("text").alias("sha1")]
+    d = t.documents.select("doc_id", *digest).where(F.col("md5").isNotNull())
+    # exact copies state the same: the walk and the clusters are of one finding for each set of digests, which stands for its members
+    sets = stash(d.groupBy("sha256", "md5", "sha1").agg(F.min("doc_id").alias("finding_id"), F.collect_list("doc_id").alias("members")), "sets")
+    findings = sets.select("finding_id", digests.coords_of({"sha256": "sha256", "md5": "md5", "sha1": "sha1"}).alias("coords"))
+    asked = sets.groupBy("md5").agg(F.min("finding_id").alias("query_id")).select("query_id", F.lit("md5").alias("scheme"), F.col("md5").alias("digest"))
+    found = identity.clusters(identity.walk(asked, findings, cap=None), findings, asked)
+    each = found.select("query_id", "cluster", "anchored", "primary", F.explode("finding_ids").alias("finding_id")).join(sets.select("finding_id", "members"), "finding_id")
+    whole = each.groupBy("query_id", "cluster", "anchored", "primary").agg(F.sort_array(F.flatten(F.collect_list("members"))).alias("ids"))
+    told = whole.select("query_id", F.size("ids").cast("long").alias("findings"), F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("ids"), "anchored", "primary")
+    told = stash(told.join(asked.select("query_id", F.col("digest").alias("md5")), "query_id").drop("query_id"), "told")
+    return d.select(F.col("doc_id").alias("query_id"), "md5").join(told, "md5").drop("md5")
 
 
 @C.query(f"""WITH d AS (SELECT DISTINCT substr(md5(text), 1, {WEAK}) AS weak, sha256(text) AS s FROM documents)

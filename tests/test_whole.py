@@ -38,3 +38,8 @@ def test_weak_collisions_beyond_a_thousand_copies(spark, tmp_path):
     a, b, c = sharing("abc", 3)
     rows = against_sql(spark, "weak_collisions", documents(spark, tmp_path, [a] * 1_001 + [b, c, "other"]))
     assert ("abc", 3, True) in [(r["weak"], r["clusters"], r["collision"]) for r in rows]
+
+
+def test_identity_clusters_beyond_a_thousand_copies(spark, tmp_path):
+    rows = against_sql(spark, "identity_clusters", documents(spark, tmp_path, ["one", *["many"] * 1_200, "one", "alone"]))
+    assert sorted({r["findings"] for r in rows}) == [1, 2, 1_200] and len(rows) == 1_203
