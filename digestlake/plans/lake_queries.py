@@ -85,6 +85,16 @@ def crosswalk_walk(t):
     return identity.walk(_seeds(t), _findings(t), hops=3, cap=100_000).select("query_id", "finding_id", "hop")
 
 
+WHOLE_SQL = FINDINGS_SQL.replace("SELECT doc_id, 'md5', md5(text), NULL::BIGINT, -1 FROM documents WHERE doc_id % 5 = 0", "SELECT min(doc_id), 'md5', md5(text), NULL::BIGINT, -1 FROM documents GROUP BY md5(text)")
+
+
+@C.query(f"WITH RECURSIVE {WHOLE_SQL.format(hops=identity.MAX_HOPS)} SELECT query_id, finding_id, CAST(min(hop) AS BIGINT) AS hop FROM w WHERE finding_id IS NOT NULL GROUP BY query_id, finding_id")
+def crosswalk_walk_all(t):
+    """From every distinct md5, as far as the operator goes, and all findings."""
+    seeds = t.documents.groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("query_id")).select("query_id", F.lit("md5").alias("scheme"), "digest")
+    return identity.walk(seeds, _findings(t), cap=None).select("query_id", "finding_id", "hop")
+
+
 @C.query("""WITH g AS (SELECT md5(text) AS m, list(doc_id ORDER BY doc_id) AS ids, any_value(sha256(text)) AS sha256 FROM documents GROUP BY md5(text))
 SELECT d.doc_id AS query_id, len(g.ids) AS findings, sha256(array_to_string(g.ids, ',')) AS ids, true AS anchored, true AS "primary" FROM documents d JOIN g ON g.m = md5(d.text)""")
 def identity_clusters(t):

@@ -3,7 +3,6 @@
 import hashlib
 
 import duckdb
-import pytest
 
 from digestlake.plans import catalogue
 
@@ -43,3 +42,9 @@ def test_weak_collisions_beyond_a_thousand_copies(spark, tmp_path):
 def test_identity_clusters_beyond_a_thousand_copies(spark, tmp_path):
     rows = against_sql(spark, "identity_clusters", documents(spark, tmp_path, ["one", *["many"] * 1_200, "one", "alone"]))
     assert sorted({r["findings"] for r in rows}) == [1, 2, 1_200] and len(rows) == 1_203
+
+
+def test_crosswalk_walks_from_every_digest_to_the_last_hop(spark, tmp_path):
+    a, b, c = sharing("abc", 3)
+    rows = against_sql(spark, "crosswalk_walk_all", documents(spark, tmp_path, [a, b, "x", c, c]))
+    assert {r["query_id"] for r in rows} == {0, 1, 3} and {"query_id": 1, "finding_id": 14, "hop": 4} in rows
