@@ -22,6 +22,16 @@ def point_lookup_capped(t):
     return lookup.point_lookup(table, "sha256", table.where("doc_id % 10 = 0"), ["doc_id"], 2)
 
 
+@C.query("""WITH w AS (SELECT sha256(text) AS sha256 FROM documents UNION SELECT sha256(html) FROM pages),
+d AS (SELECT sha256(text) AS sha256, doc_id, source FROM documents),
+r AS (SELECT d.*, row_number() OVER (PARTITION BY sha256 ORDER BY doc_id) AS pos, count(*) OVER (PARTITION BY sha256) AS total FROM d JOIN w USING (sha256))
+SELECT sha256, doc_id, source, pos, total FROM r WHERE pos <= 2""")
+def point_lookup_all(t):
+    """Every digest of documents, and those of pages, most of which are absent."""
+    table = t.documents.select(F.sha2("text", 256).alias("sha256"), "doc_id", "source")
+    return lookup.point_lookup(table, "sha256", table.select("sha256").unionByName(t.pages.select(F.sha2("html", 256).alias("sha256"))), ["doc_id"], 2)
+
+
 @C.query(f"""WITH m AS (SELECT DISTINCT substr(md5(text), 1, {WEAK}) AS weak_key, sha256(text) AS sha256 FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY weak_key ORDER BY sha256) AS rank FROM m)
 SELECT weak_key, sha256, rank, doc_id FROM r JOIN (SELECT sha256(text) AS sha256, doc_id FROM documents) USING (sha256) WHERE rank <= 3""")

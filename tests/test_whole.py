@@ -1,6 +1,7 @@
 """Queries on small tables with large groups: nothing may be left out."""
 
 import hashlib
+from pathlib import Path
 
 import duckdb
 
@@ -15,7 +16,8 @@ def documents(spark, folder, texts) -> str:
 
 def against_sql(spark, name, folder):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    for path in Path(folder).iterdir():
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}/*.parquet'")
     df, told = catalogue.QUERIES[name](spark, folder), con.sql(catalogue.ORACLES[name])
     at = [told.columns.index(c) for c in df.columns]
     found = sorted(map(tuple, df.collect()))
@@ -48,3 +50,10 @@ def test_crosswalk_walks_from_every_digest_to_the_last_hop(spark, tmp_path):
     a, b, c = sharing("abc", 3)
     rows = against_sql(spark, "crosswalk_walk_all", documents(spark, tmp_path, [a, b, "x", c, c]))
     assert {r["query_id"] for r in rows} == {0, 1, 3} and {"query_id": 1, "finding_id": 14, "hop": 4} in rows
+
+
+def test_point_lookup_of_every_digest(spark, tmp_path):
+    folder = documents(spark, tmp_path, ["one", "two", "three", "two", "two"])
+    spark.createDataFrame([("two",), ("absent",)], "html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    rows = against_sql(spark, "point_lookup_all", folder)
+    assert {(r["doc_id"], r["pos"], r["total"]) for r in rows} == {(0, 1, 1), (1, 1, 3), (2, 1, 1), (3, 2, 3)}
