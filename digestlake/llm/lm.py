@@ -7,7 +7,8 @@ the numerators and the denominators alike.
 Documents are dealt into packs by a hash of doc_id. A pack explodes its n-grams into its distinct ones, with their counts, as sorted
 64-bit names that are cut by hash range; each range of names is summed over all packs into its part of the count
 tables and joined back, in the same task, to what each pack asked; the answers return to the packs, whose
-documents are then scored and summed. The packs' exchange is made once and read twice.
+documents are then scored and summed. Names travel whole, as the gaps between sorted ones, so that two n-grams share
+a count only where all 64 bits agree. The packs' exchange is made once and read twice.
 """
 
 from collections.abc import Iterator
@@ -24,27 +25,20 @@ from digestlake.session import shuffle_partitions
 BACKOFF = 0.4
 #: Mean bytes of text in a pack, and of a range of names in all packs together.
 PACK_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
-#: Names keep 40 bits beside those of their range: of the few million names in a range, three in a million share theirs.
-NAME_BYTES = 5
 PAIR, SINGLE = 0x61, np.uint64(0x62)
 
 
-def grams(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of all words; names of all pairs by the place of the first; which of those lie within one text.
-
-    Names are cut to the bits that travel: those of the range and 8 * NAME_BYTES more.
-    """
+def grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of all words; names of all pairs by the place of the first; which of those lie within one text."""
     text = words.text_of()
-    rest = np.uint64(max(0, 64 - 8 * NAME_BYTES - bits))
-    single, pairs = mix(words.name ^ SINGLE) >> rest << rest, chain(words.name, 2, PAIR) >> rest << rest
-    return single, pairs, text[:-1] == text[1:] if len(text) > 1 else np.empty(0, bool)
+    return mix(words.name ^ SINGLE), chain(words.name, 2, PAIR), text[:-1] == text[1:] if len(text) > 1 else np.empty(0, bool)
 
 
-def pack_grams(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def pack_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of a pack, sorted, and how often each occurs in it."""
     parts = []
     for some in slices(texts, len):
-        single, pairs, inside = grams(Words(some, SHINGLE_BYTES), bits)
+        single, pairs, inside = grams(Words(some, SHINGLE_BYTES))
         parts.append(np.unique(np.r_[single, pairs[inside]], return_counts=True))
     if not parts:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -58,23 +52,25 @@ def summed(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return names[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def narrow(names: np.ndarray, bits: int) -> bytes:
-    """The bits below the top ones, which name the range: NAME_BYTES a name."""
-    rest = (names << np.uint64(bits)) >> np.uint64(64 - 8 * NAME_BYTES)
-    return rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()
+def narrow(names: np.ndarray) -> bytes:
+    """Sorted distinct names, whole: the bytes of a gap, the first name, then each gap to the next in as many bytes as the widest takes."""
+    gaps = np.diff(names)
+    width = max(1, -(-int(gaps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + names[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def widen(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // NAME_BYTES, 8), np.uint8)
-    wide[:, :NAME_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, NAME_BYTES)
-    return wide.view("<u8").reshape(-1)
+    width, rest = raw[0], np.frombuffer(raw, np.uint8, offset=9)
+    gaps = np.zeros((len(rest) // width, 8), np.uint8)
+    gaps[:, :width] = rest.reshape(-1, width)
+    return np.cumsum(np.r_[np.frombuffer(raw, "<u8", 1, 1), gaps.view("<u8").reshape(-1)], dtype=np.uint64)
 
 
-def log_scores(texts: list[bytes], names: np.ndarray, counts: np.ndarray, total: int, bits: int, alpha: float = BACKOFF) -> Iterator[tuple[int, float]]:
+def log_scores(texts: list[bytes], names: np.ndarray, counts: np.ndarray, total: int, alpha: float = BACKOFF) -> Iterator[tuple[int, float]]:
     """Of each text: its words and the sum of its log scores. names: sorted, with their counts in all documents."""
     for some in slices(texts, len):
         words = Words(some, SHINGLE_BYTES)
-        single, pairs, inside = grams(words, bits)
+        single, pairs, inside = grams(words)
         c_single = counts[np.searchsorted(names, single)] if len(single) else np.empty(0, np.int64)
         c_pairs = np.zeros(len(pairs), np.int64)
         c_pairs[inside] = counts[np.searchsorted(names, pairs[inside])]
@@ -109,10 +105,10 @@ def lm_scores(docs: DataFrame, alpha: float = BACKOFF) -> DataFrame:
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(packs)).cast("int").alias("pack"), "doc_id", "text").repartition(max(parts, min(packs, 20_000)), "pack")
 
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        names, counts = pack_grams(_bytes(frame), bits)
+        names, counts = pack_grams(_bytes(frame))
         span = (names >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(names), np.int64)
         cuts = np.searchsorted(span, np.arange((1 << bits) + 1))
-        rows = [(k, narrow(names[a:b], bits), counts[a:b].astype("<i4").tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+        rows = [(k, narrow(names[a:b]), counts[a:b].astype("<i4").tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
         out = pd.DataFrame(rows, columns=["range", "names", "counts"])
         out.insert(0, "pack", int(frame["pack"].iloc[0]))
         return out.astype({"range": "int32", "pack": "int32"})
@@ -127,10 +123,10 @@ def lm_scores(docs: DataFrame, alpha: float = BACKOFF) -> DataFrame:
         return pd.DataFrame({"pack": frame["pack"], "range": frame["range"], "width": width, "told": told}).astype({"width": "int32"})
 
     def score(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        names, _ = pack_grams(_bytes(frame), bits)  # in the order in which it asked
+        names, _ = pack_grams(_bytes(frame))  # in the order in which it asked
         told = told.sort_values("range")
         counts = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(t, f"<i{w}") for t, w in zip(told["told"], told["width"], strict=True))])
-        found = list(log_scores(_bytes(frame), names, counts, total, bits, alpha))
+        found = list(log_scores(_bytes(frame), names, counts, total, alpha))
         n, s = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.float64)
         return pd.DataFrame({"doc_id": frame["doc_id"].array, "n_words": n, "log_score": s, "mean_log_score": s / np.maximum(n, 1)})
 
