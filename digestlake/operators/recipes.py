@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from digestlake.functions.digests import IDENTITY_FLOOR
 from digestlake.operators.grouped import on_whole_groups
 from digestlake.operators.intervals import INLINE_BYTES
 from digestlake.sources import descent
@@ -77,12 +78,18 @@ def node(data: bytes, name: str, claimed: dict[str, str], residue: io.BytesIO, d
         except (OSError, EOFError, zlib.error, ValueError, IndexError):
             packed = None
         if packed:
+            digest = hashlib.sha256(inner).hexdigest()
+            if digest in claimed:
+                return base | packed | {"input": {"kind": "ref", "sha256": digest, "size": len(inner), "url": claimed[digest]}}
             return base | packed | {"input": node(inner, descent.unwrapped(name, kind), claimed, residue, depth + 1)}
-    refs = []
+    refs: list[tuple[bytes, str]] = []
+    built: dict[str, tuple[dict, bytes] | None] = {}
     try:
-        for _, content in descent.PARSERS[kind](data) if kind in descent.PARSERS else ():
+        for member, content in descent.PARSERS[kind](data) if kind in descent.PARSERS else ():
             digest = hashlib.sha256(content).hexdigest()
-            if digest in claimed:
+            if digest not in claimed and digest not in built:
+                built[digest] = nested(content, member.rsplit("/", 1)[-1], claimed, depth + 1) if content in data else None
+            if digest in claimed or built[digest]:
                 refs.append((content, digest))
     except Exception:  # what cannot be read stays literal
         pass
@@ -95,12 +102,35 @@ def node(data: bytes, name: str, claimed: dict[str, str], residue: io.BytesIO, d
             else:
                 parts.append({"kind": "residue", "at": residue.tell(), "size": len(literal)})
                 residue.write(literal)
-        if size:
+        if size and digest not in claimed:
+            below, rest = built[digest]
+            parts.append(moved(below, residue.tell()))
+            residue.write(rest)
+        elif size:
             parts.append({"kind": "ref", "sha256": digest, "size": size, "url": claimed[digest]})
         at = begin + size
     return base | {"kind": "splice", "parts": parts}
 
 
+def nested(content: bytes, name: str, claimed: dict[str, str], depth: int) -> tuple[dict, bytes] | None:
+    """The node of an unclaimed member that is a container, and a residue of its own; none if nothing below it is claimed."""
+    kind = descent.sniffed(content, name)
+    if len(content) < IDENTITY_FLOOR or depth >= descent.MAX_DEPTH or not (kind == "gzip" or kind in descent.PARSERS):
+        return None
+    residue = io.BytesIO()
+    made = node(content, name, claimed, residue, depth)
+    return (made, residue.getvalue()) if any(refs_of(made)) else None
+
+
+def moved(recipe: dict, by: int) -> dict:
+    """The recipe with its residue that many bytes further on."""
+    if recipe["kind"] == "residue":
+        return recipe | {"at": recipe["at"] + by}
+    if "input" in recipe:
+        return recipe | {"input": moved(recipe["input"], by)}
+    return recipe | {"parts": [moved(p, by) for p in recipe["parts"]]} if "parts" in recipe else recipe
+
+
 def rebuilt(recipe: dict, blobs: dict[str, bytes], residue: bytes) -> bytes:
     """The container, verified node by node; a missing or wrong part is an error."""
     kind = recipe["kind"]

@@ -1,5 +1,6 @@
 """Queries on small tables with large groups: nothing may be left out."""
 
+import gzip
 import hashlib
 from pathlib import Path
 
@@ -8,8 +9,10 @@ import numpy as np
 
 from digestlake.llm import lm
 from digestlake.llm.words import SHINGLE_BYTES, Words, mix
+from digestlake.operators import recipes
 from digestlake.plans import catalogue
 from tests.llm.test_llm import brute_lm
+from tests.test_lake import ar, archive, cpio
 
 
 def documents(spark, folder, texts) -> str:
@@ -76,3 +79,15 @@ def test_lm_names_travel_whole():
     rng = np.random.default_rng(1)
     for names in (np.unique(rng.integers(0, 2**64, 50_000, np.uint64)), np.array([7], np.uint64), np.array([0, 2**64 - 1], np.uint64)):
         assert (lm.widen(lm.narrow(names)) == names).all()
+
+
+def test_recipes_of_containers_in_containers():
+    held, other = bytes(range(256)) * 40, b"not held " * 90
+    inner = gzip.compress(archive({"held": held, "other": other}), 6, mtime=0)
+    data = archive({"first": other, "a.tar.gz": inner, "deb": ar({"x.cpio": cpio({"held": held, "other": other})}), "again.tar.gz": inner, "held.gz": gzip.compress(held, 9, mtime=0)})
+    digest = hashlib.sha256(held).hexdigest()
+    recipe, residue = recipes.mint(data, "x.tar", {digest: "u"})
+    assert [r["sha256"] for r in recipes.refs_of(recipe)] == [digest] * 4
+    assert recipes.rebuilt(recipe, {digest: held}, residue) == data
+    nothing, rest = recipes.mint(data, "x.tar", {})
+    assert nothing["kind"] == "splice" and not list(recipes.refs_of(nothing)) and rest == data
