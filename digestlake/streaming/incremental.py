@@ -30,6 +30,8 @@ def current(spark: SparkSession, state: str) -> DataFrame:
 
 
 def believed_misses(answers: DataFrame) -> DataFrame:
-    """A stream of answers (backend, coordinate, hit, fetched_at): how many misses of each backend fall in each span of belief; late ones are dropped after it."""
-    misses = answers.where("not hit").withWatermark("fetched_at", f"{MISS_SECONDS} seconds")
-    return misses.groupBy(F.window("fetched_at", f"{MISS_SECONDS} seconds"), "backend").agg(F.approx_count_distinct("coordinate").alias("misses"))
+    """A stream of answers (backend, coordinate, hit, fetched_at): how many misses of each backend fall in each span of belief, each
+    coordinate counted once; late ones are dropped after it. It is written in append mode."""
+    span = f"{MISS_SECONDS} seconds"
+    misses = answers.where("not hit").withWatermark("fetched_at", span).select(F.window("fetched_at", span).alias("window"), "backend", "coordinate")
+    return misses.dropDuplicates(["window", "backend", "coordinate"]).groupBy("window", "backend").agg(F.count("coordinate").alias("misses"))

@@ -1,5 +1,6 @@
 """Queries on small tables with large groups: nothing may be left out."""
 
+import datetime
 import gzip
 import hashlib
 from pathlib import Path
@@ -11,6 +12,7 @@ from digestlake.llm import lm
 from digestlake.llm.words import SHINGLE_BYTES, Words, mix
 from digestlake.operators import recipes
 from digestlake.plans import catalogue
+from digestlake.streaming import incremental
 from tests.llm.test_llm import brute_lm
 from tests.test_lake import ar, archive, cpio
 
@@ -91,3 +93,13 @@ def test_recipes_of_containers_in_containers():
     assert recipes.rebuilt(recipe, {digest: held}, residue) == data
     nothing, rest = recipes.mint(data, "x.tar", {})
     assert nothing["kind"] == "splice" and not list(recipes.refs_of(nothing)) and rest == data
+
+
+def test_believed_misses_are_counted(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1)
+    schema = "backend string, coordinate string, hit boolean, fetched_at timestamp"
+    rows = [("b", f"c{k % 5_000}", False, day) for k in range(6_000)] + [("b", "hit", True, day), ("b", None, False, day), ("b", "late", False, day + datetime.timedelta(days=30))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = incremental.believed_misses(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(60)
+    assert [(r["backend"], r["misses"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("b", 5_000)]
