@@ -22,6 +22,8 @@ from digestlake.session import stash
 
 #: Words in the lexicon: the bound of what is sent to the driver and broadcast (about 3 MB of words, 4 MB compiled).
 LEXICON_WORDS = 65_536
+#: Bytes of text whose ids a worker holds before it hands them on.
+OUTPUT_BYTES = 1 << 20
 #: Words longer than this many bytes are not compiled; they are merged where they occur.
 LEXICON_BYTES = 48
 
@@ -159,6 +161,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS)
     return _encoded(docs, tokenizer, size, "doc_id long, n_tokens long, ids binary, decoded string", lambda ids, text: (ids.tobytes(), text))
 
 
+def encoded_ids(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) -> DataFrame:
+    """As encode_documents, with the SHA-256 digest of the decoded text, made where the text is, in place of the text itself."""
+    return _encoded(docs, tokenizer, size, "doc_id long, n_tokens long, ids binary, decoded_sha256 string", lambda ids, text: (ids.tobytes(), hashlib.sha256(text.encode()).hexdigest()))
+
+
 def encoding_digests(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) -> DataFrame:
     """As encode_documents, with SHA-256 digests made where the texts are, in place of ids and decoded text."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -173,11 +180,12 @@ def _encoded(docs: DataFrame, tokenizer: str, size: int, schema: str, shape) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(tokenizer, block.value)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            n, made = np.zeros(len(texts), np.int64), [None] * len(texts)
-            for k, ids in coder.encode(texts):
-                n[k], made[k] = len(ids), shape(ids, coder.decode(ids))
-            columns = [pa.array([m[c] for m in made], kind) for c, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), *columns], names)
+            rows = list(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True))
+            for some in slices(rows, lambda r: 100 + len(r[1] or ""), OUTPUT_BYTES):
+                n, made = np.zeros(len(some), np.int64), [None] * len(some)
+                for k, ids in coder.encode([t for _, t in some]):
+                    n[k], made[k] = len(ids), shape(ids, coder.decode(ids))
+                columns = [pa.array([m[c] for m in made], kind) for c, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(n), *columns], names)
 
     return id_and_text(docs).mapInArrow(encode, schema)
