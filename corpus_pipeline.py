@@ -7,7 +7,6 @@ folder and read again by the next.
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from digestlake.llm import decontaminate, encoding, near_dup, secrets
 from digestlake.llm import toxicity as toxic
@@ -41,7 +40,7 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and decoded_sha256 (of the decoded text) of every document."""
-    return encoding.encode_documents(docs, TOKENIZER).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoding.encoded_ids(docs, TOKENIZER)
 
 
 STAGES = [
