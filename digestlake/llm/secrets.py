@@ -24,6 +24,38 @@ KINDS = ["assign", "access", "hex", "bare", "endpoint"]
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+#: Items that one fold of an array takes; a fold of the folds joins them, so that work grows in proportion to matches.
+FOLD = 512
+#: Code points of a stretch of text out of which pieces are cut.
+STRETCH = 256
+FAR = 2**30
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(items: Column, join, zero: Column, kind: str = "int") -> Column:
+    """What join makes of all items before each place of an array, and, as one more item, of all of them.
+
+    Blocks of FOLD items are folded each, then the blocks' results, and these are joined to what is within the blocks.
+    """
+
+    def fold(xs: Column) -> Column:
+        begin = F.struct(zero.alias("at"), F.array().cast(f"array<{kind}>").alias("before"))
+        return F.aggregate(xs, begin, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before")))
+
+    def blocks(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / FOLD).cast("int") - 1, F.lit(0))), lambda k: fold(F.slice(xs, k * FOLD + 1, FOLD)))
+
+    def joined(made: Column) -> Column:
+        within = lambda above: F.zip_with(made, above["before"], lambda b, up: F.transform(b["before"], lambda x: join(up, x)))
+        return bound(fold(F.transform(made, lambda b: b["at"])), lambda above: F.concat(F.flatten(within(above)), F.array(above["at"])))
+
+    return bound(items, lambda xs: bound(blocks(xs), joined))
+
+
 def found(text: Column, pattern: str, kind: str, sure: str | None = None) -> Column:
     """Spans of all leftmost non-overlapping matches, in code points. sure: a cheap pattern without which none can be.
 
@@ -32,17 +64,15 @@ def found(text: Column, pattern: str, kind: str, sure: str | None = None) -> Col
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rank = KINDS.index(kind)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    cut = F.zip_with(between, matches, lambda gap, match: F.struct(gap.alias("gap"), F.coalesce(F.length(match), F.lit(0)).alias("size"), (match.isNotNull() & _holds(kind, match)).alias("holds")))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        end = at + F.length(x["match"])
-        span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.when(_holds(kind, x["match"]), F.array(span)).otherwise(F.array().cast(SPAN))).alias("spans"))
+    def placed(cuts: Column) -> Column:
+        before = running(F.transform(cuts, lambda x: x["gap"] + x["size"]), lambda x, y: x + y, F.lit(0))
+        span = lambda x, at: F.struct(F.struct((at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + x["gap"] + x["size"]).alias("end"), F.lit(kind).alias("kind")).alias("span"), x["holds"].alias("holds"))
+        each = F.zip_with(cuts, F.slice(before, 1, F.size(cuts)), span)
+        return F.transform(F.filter(each, lambda e: e["holds"]), lambda e: e["span"])
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(sure or pattern), spans).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(sure or pattern), bound(cut, placed)).otherwise(F.array().cast(SPAN))
 
 
 def _holds(kind: str, match: Column) -> Column:
@@ -51,8 +81,36 @@ def _holds(kind: str, match: Column) -> Column:
     return match.rlike("[0-9]") & match.rlike("[A-Za-z]") if kind == "bare" else F.lit(True)
 
 
-def near(part: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: F.abs(o["start"] - part["start"]) <= SCOPE)
+def beside(parts: Column, others: dict[str, Column], wanted) -> Column:
+    """Those of parts (sorted by start) for which wanted(part, sides) holds, by an interval join with each of others.
+
+    One sweep over the starts of all: sides has, by the name of each of others, the largest start (name_last) and end (name_end)
+    of those that start no later than the part, and the least start of those that start later (name_next, negated).
+    """
+    names = list(others)
+    event = lambda which: lambda p: F.struct(p["start"].alias("at"), F.lit(which).alias("which"), p["end"].alias("end"), p.alias("part"))
+    events = F.array_sort(F.concat(*[F.transform(others[n], event(k)) for k, n in enumerate(names)], F.transform(parts, event(len(names)))))
+
+    def swept(es: Column) -> Column:
+        def side(columns: list[tuple[str, str, int]], items: Column) -> Column:
+            keys = [f"{n}_{c}" for n in names for c, _, _ in columns]
+            state = lambda e: F.struct(*[F.when(e["which"] == k, sign * e[of]).otherwise(F.lit(-FAR)).alias(f"{n}_{c}") for k, n in enumerate(names) for c, of, sign in columns])
+            join = lambda x, y: F.struct(*[F.greatest(x[c], y[c]).alias(c) for c in keys])
+            zero = F.struct(*[F.lit(-FAR).alias(c) for c in keys])
+            return running(F.transform(items, state), join, zero, "struct<" + ",".join(f"{c}:int" for c in keys) + ">")
+
+        before = side([("last", "at", 1), ("end", "end", 1)], es)
+        after = F.reverse(F.slice(side([("next", "at", -1)], F.reverse(es)), 1, F.size(es)))
+        met = F.zip_with(F.zip_with(es, F.slice(before, 1, F.size(es)), lambda e, x: F.struct(e.alias("e"), x.alias("x"))), after, lambda p, y: F.struct(p["e"].alias("e"), p["x"].alias("x"), y.alias("y")))
+        holds = lambda m: (m["e"]["which"] == len(names)) & wanted(m["e"]["part"], lambda n, c: m["y" if c == "next" else "x"][f"{n}_{c}"])
+        return F.transform(F.filter(met, holds), lambda m: m["e"]["part"])
+
+    return bound(events, swept)
+
+
+def near(part: Column, of, name: str) -> Column:
+    """Whether one of the others starts within SCOPE code points of the part's start."""
+    return (part["start"] - of(name, "last") <= SCOPE) | (-of(name, "next") - part["start"] <= SCOPE)
 
 
 def with_spans(rows: DataFrame) -> DataFrame:
@@ -67,11 +125,10 @@ def with_spans(rows: DataFrame) -> DataFrame:
     size = F.size
     first = rows.withColumns({"assign": found(text, ASSIGN, "assign", "[:=]"), "access": found(text, ACCESS, "access", "AKIA"), "hex": found(text, HEX, "hex")})
     first = first.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    apart = lambda p: ~F.exists("base", lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"]))
-    bare = F.filter(found(text, BARE, "bare"), lambda p: near(p, F.col("access")) & apart(p))
-    second = first.withColumn("bare", if_any(size("access") > 0, bare))
-    completed = lambda p: near(p, F.col("assign")) | near(p, F.col("access")) & (near(p, F.col("bare")) | near(p, F.col("hex")))
-    endpoint = F.filter(found(text, ENDPOINT, "endpoint", r"://|[0-9]\.[0-9]"), completed)
+    secret = lambda p, of: near(p, of, "access") & (of("base", "end") <= p["start"]) & (-of("base", "next") >= p["end"])
+    second = first.withColumn("bare", if_any(size("access") > 0, beside(found(text, BARE, "bare"), {"access": F.col("access"), "base": F.col("base")}, secret)))
+    completed = lambda p, of: near(p, of, "assign") | near(p, of, "access") & (near(p, of, "bare") | near(p, of, "hex"))
+    endpoint = beside(found(text, ENDPOINT, "endpoint", r"://|[0-9]\.[0-9]"), {k: F.col(k) for k in KINDS[:4]}, completed)
     third = second.withColumn("endpoint", if_any((size("access") > 0) | (size("assign") > 0), endpoint))
     return third.withColumn("linked", F.array_sort(F.concat("bare", "endpoint")))
 
@@ -107,22 +164,33 @@ def masked(docs: DataFrame) -> DataFrame:
     """
     held = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     searched = with_spans(held).select("row", "text", F.array_sort(F.concat("base", "linked")).alias("spans"))
-    text = F.col("row.text")
-    merged = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["pieces"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK)))).otherwise(acc["pieces"]).alias("pieces"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["pieces"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    clean = F.when(F.size("spans") == 0, text).otherwise(merged)
+    text = F.col("row.text").cast("string")
+    clean = F.when(F.size("spans") == 0, text).otherwise(bound(F.col("spans"), lambda spans: _masked(text, spans)))
     made = searched.withColumn("clean", clean)
     shown = {"text": F.col("clean"), "n_chars": F.when(F.size("spans") == 0, F.col("row.n_chars")).otherwise(F.length("clean"))} if "n_chars" in docs.columns else {"text": F.col("clean")}
     return made.select(*[shown[c].cast(docs.schema[c].dataType).alias(c) if c in shown else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with MASK in place of the spans, which are sorted by start. Pieces are cut out of short stretches, since
+    to find a place within a text of many bytes takes a walk over all characters before it."""
+
+    def piece(stretches: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / STRETCH).cast("int")
+        some = F.array_join(F.slice(stretches, first + 1, F.floor(b / STRETCH).cast("int") - first + 1), "")
+        return F.substring(some, a - first * STRETCH + 1, b - a)
+
+    def cut(stretches: Column, upto: Column) -> Column:
+        def shown(s: Column, at: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(piece(stretches, at, s["start"]), F.lit(MASK))).otherwise(F.lit(""))
+
+        pieces = F.zip_with(spans, F.slice(upto, 1, F.size(spans)), shown)
+        return F.concat(F.array_join(pieces, ""), piece(stretches, F.element_at(upto, -1), F.lit(FAR)))
+
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)), lambda stretches: bound(ends, lambda upto: cut(stretches, upto)))
+
+
 def _oracle() -> str:
     """The report in DuckDB SQL, from the same patterns."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
