@@ -29,9 +29,12 @@ def small_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 8) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. A local session without the setting gets a
+    folder of its own; on a cluster, whose machines see different ones, that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = os.path.join(tempfile.gettempdir(), "digestlake-shared")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -41,7 +44,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet under the shared folder and read it back: lineage ends here.
 
     A lost executor costs nothing that is already written. The shuffle files of the writing query, which nothing reads
-    again, go when it ends.
+    again, go when it ends. discard() removes the table once what was made of it is written; else it belongs to the run, as the shared folder does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -51,7 +54,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stash_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stashed tables that nothing will read again."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stash_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
