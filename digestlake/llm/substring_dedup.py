@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from digestlake.llm.decontaminate import _texts
 from digestlake.llm.tables import id_and_text, slices
 from digestlake.llm.words import EXACT_BYTES, Words, chain, mix
-from digestlake.session import stash
+from digestlake.session import discard, stash
 
 WINDOW = 13
 #: More rounds give symbols of more words, but wider contexts, so that more anchors are needed to hold all windows: on prose of
@@ -141,21 +141,34 @@ def _anchored(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _window_names(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """doc_id, name: the distinct windows that shared anchors hold, of the documents in shared (doc_id, anchors)."""
+    """doc_id, name, proof: the distinct windows that shared anchors hold, of the documents in shared (doc_id, anchors).
+
+    name and proof are two 64-bit names of a window, made of two unrelated names of its words: windows of which both agree
+    are taken as equal.
+    """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(zip(b.column("doc_id").to_pylist(), _texts(b), b.column("anchors"), strict=True))
             for some in slices(rows, lambda x: len(x[1])):
-                words = Words([t for _, t, _ in some], EXACT_BYTES)
-                found, names = anchors(words, window).view(np.int64), chain(words.name, window, window)
+                words = Words([t for _, t, _ in some], EXACT_BYTES, proofs=True)
+                found, (names, proofs) = anchors(words, window).view(np.int64), named(words, window)
                 for (doc_id, _, keys), a, e in zip(some, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
                     own = found[a : max(a, e - window + 1)]
                     hit = np.isin(own, keys.values.to_numpy())
-                    made = np.unique(names[a : a + len(own)][hit])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made), doc_id, np.int64)), pa.array(made.view(np.int64))], ["doc_id", "name"])
+                    held, proof = names[a : a + len(own)][hit], proofs[a : a + len(own)][hit]
+                    order = np.lexsort((proof, held))
+                    held, proof = held[order], proof[order]
+                    once = np.r_[True, (held[1:] != held[:-1]) | (proof[1:] != proof[:-1])][: len(held)]
+                    held, proof = held[once], proof[once]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), doc_id, np.int64)), pa.array(held.view(np.int64)), pa.array(proof.view(np.int64))], ["doc_id", "name", "proof"])
+
+    return docs.join(shared, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_joined(name), "doc_id long, name long, proof long")
+
 
-    return docs.join(shared, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_joined(name), "doc_id long, name long")
+def named(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two names of the window that starts at each word."""
+    return chain(words.name, window, window), chain(words.proof, window, 1000 + window)
 
 
 def _joined(make):
@@ -175,18 +188,22 @@ def _joined(make):
     return run
 
 
-def _first_of(rows: DataFrame, key: str) -> DataFrame:
+def _first_of(rows: DataFrame, *key: str) -> DataFrame:
     """key, first: for each key in several documents, the least doc_id."""
-    return rows.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")).where("first < other").select(key, "first")
+    return rows.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")).where("first < other").select(*key, "first")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, names: of each document the names of its windows that start in one with a smaller doc_id too."""
+    """doc_id, names (array of struct<name, proof>): of each document its windows that start in one with a smaller doc_id too."""
     docs = id_and_text(docs).where("doc_id is not null and text is not null")
     anchored = stash(_anchored(docs, window), "anchors")
     shared = stash(anchored.join(_first_of(anchored, "anchor"), "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "shared")
-    named = stash(_window_names(docs, shared, window), "windows")
-    return stash(named.join(_first_of(named, "name"), "name").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("name").alias("names")), "repeats")
+    discard(anchored)
+    windows = stash(_window_names(docs, shared, window), "windows")
+    discard(shared)
+    repeats = stash(windows.join(_first_of(windows, "name", "proof"), ["name", "proof"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("name", "proof")).alias("names")), "repeats")
+    discard(windows)
+    return repeats
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -194,7 +211,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word goes if a window of consecutive words that covers it also starts in a document with a smaller doc_id;
     windows are judged on the input. Null and empty texts have no words. Rows without a doc_id, and repeats within one
-    document or in rows of one doc_id, stay. An empty table gives no rows.
+    document or in rows of one doc_id, stay. An empty table gives no rows. A very long text is taken whole by one task, at some
+    300 bytes a word.
     """
     return _kept(docs, window, "kept", lambda kept: kept.decode())
 
@@ -216,7 +234,12 @@ def _kept(docs: DataFrame, window: int, column: str, shape) -> DataFrame:
                 n.append(len(words))
                 cover = np.zeros(len(words), bool)
                 if names.is_valid and len(words) >= window:
-                    hit = np.isin(chain(Words([text], EXACT_BYTES).name, window, window).view(np.int64), names.values.to_numpy())
+                    known, proved = (names.values.field(k).to_numpy() for k in (0, 1))
+                    own, proofs = (x.view(np.int64) for x in named(Words([text], EXACT_BYTES, proofs=True), window))
+                    hit = np.isin(own, known)
+                    at = np.flatnonzero(hit)
+                    right = set(zip(known.tolist(), proved.tolist(), strict=True))
+                    hit[at] = [pair in right for pair in zip(own[at].tolist(), proofs[at].tolist(), strict=True)]
                     depth = np.zeros(len(words) + 1, np.int64)
                     depth[: len(hit)] += hit
                     depth[window : window + len(hit)] -= hit
