@@ -11,18 +11,19 @@ in several components, and there holds members of the smaller components against
 blocks of bounded size. So large groups of near copies cost a few pairs a member, and no link between components is lost.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from digestlake.llm.components import components
+from digestlake.llm.components import components, united
 from digestlake.llm.decontaminate import _texts
 from digestlake.llm.tables import id_and_text, slices
 from digestlake.llm.words import SHINGLE_BYTES, Words, chain, mix
-from digestlake.session import stash
+from digestlake.session import discard, stash
 
 #: 40 bands of 5 samples: a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 = 1e-7.
 BANDS, ROWS = 40, 5
@@ -86,7 +87,7 @@ def most_bits(similarity: float) -> int:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (a 64-bit name of the set), bands (keys), sketch for every row."""
+    """doc_id, n_shingles, node and proof (the two halves of a digest of the whole set), bands (keys), sketch for every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,10 +95,10 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             least = np.array([samples(s) for s in sets], np.uint32).reshape(len(sets), SAMPLES)
             keys = chain_rows(least[:, : BANDS * ROWS].astype(np.uint64).reshape(-1, ROWS)).reshape(-1, BANDS)
             keys = mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) for s in sets], pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(odd_sketches(least).view(np.int64)), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_shingles", "node", "bands", "sketch"])
+            columns = [pa.array([len(s) for s in sets], pa.int64()), *halves(sets), pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(odd_sketches(least).view(np.int64)), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_shingles", "node", "proof", "bands", "sketch"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, node long, proof long, bands array<long>, sketch array<long>")
 
 
 def chain_rows(rows: np.ndarray) -> np.ndarray:
@@ -107,9 +108,14 @@ def chain_rows(rows: np.ndarray) -> np.ndarray:
     return made
 
 
-def set_name(names: np.ndarray) -> int:
-    total = np.array([len(names)], np.uint64) + mix(names).sum(dtype=np.uint64)
-    return int(mix(total).view(np.int64)[0])
+def set_digest(names: np.ndarray) -> tuple[int, int]:
+    """A 128-bit digest of all members of a set, given in order: sets of equal digests are equal."""
+    return tuple(np.frombuffer(hashlib.blake2b(names.tobytes(), digest_size=16).digest(), "<i8").tolist())
+
+
+def halves(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    digests = [set_digest(s) for s in sets]
+    return pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())
 
 
 def alike(n_a, n_b, percent: int):
@@ -127,7 +133,9 @@ def shared_bands(nodes: DataFrame) -> DataFrame:
     shared = bands.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     met = stash(bands.join(shared, "key"), "bands")
     central = met.groupBy("node").agg(F.sum("held").alias("central"))
-    return stash(met.join(central, "node").select("key", "node", "n", F.struct("central", F.xxhash64("node").alias("hash")).alias("turn")), "turns")
+    turns = stash(met.join(central, "node").select("key", "node", "n", F.struct("central", F.xxhash64("node").alias("hash")).alias("turn")), "turns")
+    discard(met)
+    return turns
 
 
 def pivot_pairs(bands: DataFrame, percent: int) -> DataFrame:
@@ -263,18 +271,20 @@ def cross_links(bands: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     if picked.isEmpty():
         return picked.select(F.col("node").alias("a"), F.col("node").alias("b"))
     sets = full_sets(picked.select("node").distinct(), nodes, docs, size)
-    return stash(on_cells(picked.join(sets, "node"), verify, "a long, b long"), "links")
+    links = stash(on_cells(picked.join(sets, "node"), verify, "a long, b long"), "links")
+    discard(picked)
+    return links
 
 
 def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """doc_id, node, names: the sorted shingle names of the wanted nodes, from their texts."""
-    ids = wanted.join(nodes.select("node", "doc_id"), "node")
-    texts = docs.join(ids, "doc_id").dropDuplicates(["doc_id", "node", "text"])
+    ids = wanted.join(nodes.select("node", "proof", "doc_id"), "node")
+    texts = docs.join(ids, "doc_id").dropDuplicates(["doc_id", "node", "proof", "text"])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, node = list(shingle_sets(_texts(b), size)), b.column("node").to_pylist()
-            right = pa.array([set_name(s) == n for s, n in zip(sets, node, strict=True)], pa.bool_())
+            sets, node, proof = list(shingle_sets(_texts(b), size)), b.column("node").to_pylist(), b.column("proof").to_pylist()
+            right = pa.array([set_digest(s) == (n, p) for s, n, p in zip(sets, node, proof, strict=True)], pa.bool_())
             whole = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "node", "names"])
             yield whole.filter(right)
 
@@ -296,39 +306,53 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Linked are documents with 100 * |intersection| >= percent * |union| of their shingle sets; rows of one doc_id are one
     document. component_id is the least doc_id reachable by links, kept whether it is the document's own. Null and
     empty texts, and texts without words, have no shingles and are linked with nothing. Rows without a doc_id
-    are in no link and are kept. An empty table gives no rows.
+    are in no link and are kept. An empty table gives no rows. Documents of equal sets are linked by a digest of the whole set,
+    all others by their whole sets. A very long text is held whole by one task, at some 40 bytes a word.
     """
     docs = id_and_text(docs)
     signed = stash(signatures(docs, size), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch"))
-    nodes = stash(full.groupBy("node").agg(first.alias("x")).select("node", "x.doc_id", F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch"), "nodes")
-    same = full.select("doc_id", "node").join(nodes.select("node", F.col("doc_id").alias("rep")), "node").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    nodes = stash(full.groupBy("node", "proof").agg(first.alias("x")).select("node", "proof", "x.doc_id", F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch"), "nodes")
+    same = full.select("doc_id", "node", "proof").join(nodes.select("node", "proof", F.col("doc_id").alias("rep")), ["node", "proof"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     texts, most = docs.where("doc_id is not null"), most_bits(percent / 100)
-    bands = shared_bands(nodes)
-    pairs = stash(screened(pivot_pairs(bands, percent), nodes, most), "pairs")
+    turns = shared_bands(nodes)
+    pairs = stash(screened(pivot_pairs(turns, percent), nodes, most), "pairs")
     links = stash(confirmed(pairs, nodes, texts, size, percent), "links")
     labels = components(links.unionByName(same))
     placed = nodes.select("node", "doc_id", "sketch").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    bands = bands.join(placed.select("node", "sketch", "component"), "node")
+    bands = turns.join(placed.select("node", "sketch", "component"), "node")
     more = cross_links(bands, nodes, texts, size, percent, most)
     if not more.isEmpty():
-        labels = components(links.unionByName(same).unionByName(more))
+        labels = united(labels, more)
+    discard(turns, pairs, links)
     every = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return every.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, whatever the case of its letters."""
+    there = {c.lower() for c in docs.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, of the document with the least doc_id in each component, one row of each such
-    document: of rows that repeat its doc_id the one with the least text, null before others. Rows without a doc_id stay.
+    document: of rows that repeat its doc_id the one with the least text, null before others, and of those with equal texts the one
+    whose columns, written as JSON, have the least digest. Rows without a doc_id stay. Further columns may have any name and type.
     """
     found = near_duplicates(docs, size, percent)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    own, turn = unused(docs, "own_id"), unused(docs, "turn")
+    gone = found.where("not kept").select(F.col("doc_id").alias(own)).distinct()
+    with_id = docs.withColumn(own, F.col("doc_id").cast("long"))
+    left = with_id.join(gone, own, "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return left
-    row = F.struct(F.col("text").isNotNull().alias("there"), F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    one = left.where("doc_id is not null").groupBy(F.col("doc_id").cast("long")).agg(F.min(row).alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
-    return left.where("doc_id is null").unionByName(one)
+    if not repeated.isEmpty():
+        rest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+        order = Window.partitionBy(own).orderBy(F.col("text").cast("string").asc_nulls_first(), rest)
+        one = left.where(F.col(own).isNotNull()).withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn)
+        left = left.where(F.col(own).isNull()).unionByName(one)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
