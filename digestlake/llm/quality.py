@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are pairs of neighbouring characters by class (letters by frequency and case, digits, blanks, each
-kind of sign) and a few counts of repetition. The terms of a bounded labelled sample are weighted by rarity and
+A text's terms are its words, hashed; pairs of neighbouring characters by class (letters by frequency and case, digits,
+blanks, each kind of sign); and how its words are spread: by length, and by how often they recur within some hundred words.
+All are shares per mille. The terms of a bounded labelled sample are weighted by rarity and
 reduced by a truncated SVD; the reduced vectors are broadcast, every document is projected, and all its
 cosines with all of them are computed in blocks. The nearest neighbours' labels vote with their similarity.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from digestlake.llm.decontaminate import _texts
 from digestlake.llm.labelled import labelled_sample
 from digestlake.llm.tables import id_and_text, slices
-from digestlake.llm.words import EXACT_BYTES, Words
+from digestlake.llm.words import EXACT_BYTES, MIX_1, STRETCH, Words, mix
 
 #: The bound of the labelled rows whose vectors are broadcast: 1 MB of vectors.
 TRAIN_ROWS = 4_096
@@ -37,28 +38,28 @@ def _byte_classes() -> tuple[np.ndarray, int]:
 
 
 CLASS_OF, CLASSES = _byte_classes()
-REPEATS = 12
-TERMS = CLASSES * CLASSES + REPEATS
+#: Places that words are hashed to; words of a stretch within which recurrences count; bins of recurrence and of length.
+WORD_PLACES, RECURRENCE, BINS = 1024, 200, 9
+TERMS = CLASSES * CLASSES + WORD_PLACES + 2 * BINS
 
 
 def term_counts(texts: list[bytes]) -> np.ndarray:
-    """One row of float32 per text: shares of its character pairs, and how much it repeats itself."""
+    """One row of float32 per text: the shares of its terms. All of a text counts; a text without words has none."""
     rows = np.zeros((len(texts), TERMS), np.float32)
     words = Words(texts, EXACT_BYTES)
+    ends = np.cumsum([CLASSES * CLASSES, WORD_PLACES, BINS, BINS])
     for k, t in enumerate(texts):
-        if len(t) > 1:
-            c = CLASS_OF[np.frombuffer(t, np.uint8)]
-            rows[k, : CLASSES * CLASSES] = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES) * (1000.0 / len(t))
-        names = words.name[words.first[k] : words.first[k + 1]]
-        lines = t.split(b"\n")
-        n = len(names)
-        if n > 1:
-            same = float(np.mean(names[1:] == names[:-1]))
-            distinct = len(np.unique(names)) / min(n, 200)
-            long = float(np.mean(words.end[words.first[k] : words.first[k + 1]] - words.start[words.first[k] : words.first[k + 1]] > 14))
-            line = 1 - len(set(lines)) / len(lines)
-            for j, x in enumerate((same, min(1.0, distinct), long, line)):
-                rows[k, CLASSES * CLASSES + 3 * j + min(2, int(3 * x))] = 20 + 60 * x
+        for a in range(0, max(0, len(t) - 1), STRETCH):
+            c = CLASS_OF[np.frombuffer(t, np.uint8, min(STRETCH + 1, len(t) - a), a)]
+            rows[k, : ends[0]] += np.bincount(c[:-1] * CLASSES + c[1:], minlength=ends[0]) * (1000.0 / len(t))
+        own = slice(int(words.first[k]), int(words.first[k + 1]))
+        names, n = words.name[own], own.stop - own.start
+        if n:
+            share = 1000.0 / n
+            rows[k, ends[0] : ends[1]] = np.bincount((names % np.uint64(WORD_PLACES)).astype(np.int64), minlength=WORD_PLACES) * share
+            _, which, times = np.unique(mix(names + (np.arange(n) // RECURRENCE).astype(np.uint64) * MIX_1), return_inverse=True, return_counts=True)
+            rows[k, ends[1] : ends[2]] = np.bincount(np.minimum(BINS - 1, np.ceil(np.log2(times))).astype(np.int64), times, BINS) * share
+            rows[k, ends[2] :] = np.bincount(np.minimum(BINS - 1, (words.end[own] - words.start[own]) // 4), minlength=BINS) * share
     return rows
 
 
@@ -79,12 +80,15 @@ class Neighbours:
         """Exact cosines with all labelled vectors, BLOCK texts at a time."""
         if not len(self.labels):
             return np.full(len(counts), 0.5)
-        scores, k = [], min(NEIGHBOURS, len(self.labels))
+        scores, m = [], len(self.labels)
+        k = min(NEIGHBOURS, m)
         for a in range(0, len(counts), BLOCK):
-            cosine = self.project(counts[a : a + BLOCK]) @ self.vectors.T
-            near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-            weight = np.clip(np.take_along_axis(cosine, near, axis=1), 1e-3, 1) ** SHARPNESS
-            scores.append((weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1))
+            # steps of a millionth, so that neither a block's shape nor the order of sums shows; of equal cosines the first labelled row's counts
+            steps = np.rint((self.project(counts[a : a + BLOCK]) @ self.vectors.T).astype(np.float64) * 1e6).astype(np.int64)
+            near = np.sort(np.argpartition(steps * m - np.arange(m), m - k, axis=1)[:, m - k :], axis=1)
+            weight = np.clip(np.take_along_axis(steps, near, axis=1) / 1e6, 1e-3, 1) ** SHARPNESS
+            vote = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+            scores.append(np.where(counts[a : a + BLOCK].any(axis=1), vote, self.labels.mean()))
         return np.concatenate(scores).astype(np.float64) if scores else np.empty(0)
 
 
@@ -128,13 +132,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Neighbo
 
 
 def quality(docs: DataFrame, model: Neighbours, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted for every row. Null and empty texts have no terms and get the vote of arbitrary but
-    fixed neighbours at similarity 0; without labelled rows every score is 0.5."""
+    """doc_id, score, predicted for every row. Null and empty texts have no terms and score the mean label of the sample;
+    without labelled rows every score is 0.5. Of equally near neighbours those of lesser turn and doc_id vote. Repeated rows score
+    equally; an empty table gives no rows. A very long text takes some 24 bytes a word."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [held.value.score(term_counts(some)) for some in slices(_texts(b), lambda t: len(t) + 4000)]
+            parts = [held.value.score(term_counts(some)) for some in slices(_texts(b), lambda t: len(t) + 8000)]
             s = np.concatenate(parts) if parts else np.empty(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
