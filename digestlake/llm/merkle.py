@@ -11,18 +11,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from digestlake.llm.tables import id_and_text, slices
 from digestlake.llm.words import EXACT_BYTES, Words, mix
+from digestlake.session import shuffle_partitions
 
 #: A phrase ends after one word in PHRASE, and after LONGEST words at most; a section after one paragraph in SECTION.
 PHRASE, LONGEST, SECTION = 3, 8, 8
 #: The first words of a text are phrases each, so that very short texts have a tree too.
 LEAD = 8
-CODE_BYTES = 3
+CODE_BYTES = 6
+#: Letters of a code, written in base 64.
+LETTERS = CODE_BYTES * 4 // 3
 
 
 def _digest(data: bytes) -> bytes:
@@ -33,7 +37,7 @@ class Tree:
     """The fingerprint of one text: the digests of its sections, its paragraphs as spans of phrases, and the phrases' codes."""
 
     def __init__(self, text: bytes, letters: str, codes: np.ndarray, cuts: list[int]):
-        """letters: four for each phrase; cuts: where the phrases of each line begin."""
+        """letters: LETTERS for each phrase; cuts: where the phrases of each line begin."""
         self.letters, self.codes = letters, codes
         self.sections: list[tuple[bytes, list[tuple[int, int]]]] = []
         own: list[bytes] = []
@@ -50,12 +54,13 @@ class Tree:
 
     def text(self) -> str:
         """root;section,paragraph,paragraph...;section...: section digests in short, paragraphs as their phrases' codes."""
-        return self.root.hex() + "".join(";" + s[:4].hex() + "".join("," + self.letters[4 * a : 4 * b] for a, b in spans) for s, spans in self.sections)
+        return self.root.hex() + "".join(";" + s[:4].hex() + "".join("," + self.letters[LETTERS * a : LETTERS * b] for a, b in spans) for s, spans in self.sections)
 
 
 def _codes(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(raw, np.uint8).reshape(-1, CODE_BYTES).astype(np.int32)
-    return b[:, 0] << 16 | b[:, 1] << 8 | b[:, 2]
+    whole = np.zeros((len(raw) // CODE_BYTES, 8), np.uint8)
+    whole[:, -CODE_BYTES:] = np.frombuffer(raw, np.uint8).reshape(-1, CODE_BYTES)
+    return whole.view(">i8").ravel().astype(np.int64)
 
 
 def trees(texts: list[str]) -> Iterator[Tree]:
@@ -73,7 +78,7 @@ def trees(texts: list[str]) -> Iterator[Tree]:
         begin = np.flatnonzero(starts)
         rel = (place - begin[np.cumsum(starts) - 1]).astype(np.uint64) if n else place.astype(np.uint64)
         names = mix(np.add.reduceat(mix(words.name + rel), begin)) if n else np.empty(0, np.uint64)
-        raw = (names >> np.uint64(40)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+        raw = names.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES].tobytes()
         letters, codes = base64.b64encode(raw).decode(), _codes(raw)
         own_line = line[begin]
         own_text = np.searchsorted(begin, words.first)
@@ -83,7 +88,7 @@ def trees(texts: list[str]) -> Iterator[Tree]:
         for k, text in enumerate(some):
             a, b = int(own_text[k]), int(own_text[k + 1])
             cuts = (cut_of[line_from : int(end_break[k]) + 1] - a).tolist()
-            yield Tree(text, letters[4 * a : 4 * b], codes[a:b], cuts)
+            yield Tree(text, letters[LETTERS * a : LETTERS * b], codes[a:b], cuts)
             line_from = int(end_break[k]) + 1
 
 
@@ -140,36 +145,44 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(make, "doc_id long, fingerprint string")
 
 
+#: Rows of a part where there are many; fewer, but rows_per_part at least, while that keeps the session's partitions busy.
+PART_ROWS = 65_536
+#: Sampled ids of a part, by which the parts are cut.
+SAMPLED = 16
+
+
 def with_next(docs: DataFrame, rows_per_part: int = 4_000) -> DataFrame:
     """part, extra, doc_id, text, sorted in each partition so that a row of extra = 0 is followed by the next document.
 
-    Order: doc_id descending, then text; null ids last. The ids, without texts, give cut points (quantiles) and the
-    first document of each part, a few numbers per part; that first document is also sent, marked extra, to the end of
-    the part before, and the very first to the end of the last. So texts are exchanged once.
+    Order: doc_id descending, then text; null ids last. A sample of the ids, without texts, cuts them into parts; a second pass over the
+    ids finds the first document of each part. That one is also sent, marked extra, to the end of the part before, and the
+    very first to the end of the last. So texts are exchanged once. What the driver holds and broadcasts are 24 bytes a part, and 8 for each
+    sampled id: 20 MB and 100 MB at 5e10 documents (100 TB), 2 kB and 8 kB at 256,000. Rows of one doc_id are in one part.
     """
+    spark = docs.sparkSession
     docs = id_and_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.withColumn("rank", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
     n = docs.count()
-    parts = max(1, -(-n // rows_per_part))
-    rank = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    shares = [k / parts for k in range(1, parts)]
-    cuts = (docs.select(F.percentile_approx(rank, shares, 10_000).alias("c")).first()["c"] or []) if shares and n else []
-    cuts = sorted(set(cuts), reverse=True)
-    tops, fine = cuts[63::64], [cuts[k : k + 64] for k in range(0, len(cuts) + 1, 64)]
-    over = lambda array: F.size(F.filter(array, lambda c: c > rank))
-    longs = lambda xs: F.lit([int(x) for x in xs]) if xs else F.array().cast("array<long>")
-    coarse = over(longs(tops))
-    part = (coarse * 64 + over(F.element_at(F.array(*[longs(f) for f in fine]), coarse + 1))).cast("int")
-    placed = docs.withColumn("rank", rank).withColumn("part", part)
-    heads = sorted((r["part"], r["head"]) for r in placed.groupBy("part").agg(F.max("rank").alias("head")).collect())
-    head_of, before = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1)
-    for k, (p, head) in enumerate(heads):
-        head_of[p], before[p] = head, heads[k - 1][0]
-    at = F.col("part") + 1
-    is_head = F.element_at(F.array(*[F.lit(h).cast("long") for h in head_of]), at) == F.col("rank")
+    parts = max(1, -(-n // PART_ROWS), min(-(-n // rows_per_part), max(shuffle_partitions(spark), -(-n // PART_ROWS))))
+    drawn = np.sort(docs.select("rank").sample(fraction=min(1.0, 2 * SAMPLED * parts / n), seed=11).toPandas()["rank"].to_numpy(np.int64)) if parts > 1 else np.empty(0, np.int64)
+    cuts = spark.sparkContext.broadcast(np.unique(drawn[np.arange(1, parts) * len(drawn) // parts]) if len(drawn) else drawn)
+
+    def part(rank: pd.Series) -> pd.Series:
+        return pd.Series(len(cuts.value) - np.searchsorted(cuts.value, rank.to_numpy(np.int64), side="right")).astype("int32")
+
+    in_part = F.pandas_udf(part, "int")
+    heads = docs.select(in_part("rank").alias("part"), "rank").groupBy("part").agg(F.max("rank").alias("head")).toPandas().sort_values("part")
+    first = spark.sparkContext.broadcast(dict(zip(heads["head"].tolist(), np.roll(heads["part"].to_numpy(), 1).tolist(), strict=True)))
+
+    def before(rank: pd.Series) -> pd.Series:
+        """The part before, for the first document of a part; -1 for others."""
+        return pd.Series([first.value.get(r, -1) for r in rank.tolist()], dtype="int32")
+
+    placed = docs.withColumns({"part": in_part("rank"), "before": F.pandas_udf(before, "int")("rank")})
     own = F.struct("part", F.lit(0).alias("extra"))
-    also = F.struct(F.element_at(F.array(*[F.lit(b).cast("int") for b in before]), at).alias("part"), F.lit(1).alias("extra"))
-    sent = placed.select(F.explode(F.when(is_head, F.array(own, also)).otherwise(F.array(own))).alias("to"), "rank", "doc_id", "text").select("to.part", "to.extra", "rank", "doc_id", "text")
-    return sent.repartition("part").sortWithinPartitions("part", "extra", F.desc("rank"), "text").select("part", "extra", "doc_id", "text")
+    also = F.struct(F.col("before").alias("part"), F.lit(1).alias("extra"))
+    sent = placed.select(F.explode(F.when(F.col("before") >= 0, F.array(own, also)).otherwise(F.array(own))).alias("to"), "rank", "doc_id", "text").select("to.part", "to.extra", "rank", "doc_id", "text")
+    return sent.repartition(max(parts, shuffle_partitions(spark)), "part").sortWithinPartitions("part", "extra", F.desc("rank"), "text").select("part", "extra", "doc_id", "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -184,7 +197,8 @@ def compared(docs: DataFrame) -> DataFrame:
     """For every row of docs its fingerprint, that of its edited text, and its likeness to this and to the next document's.
 
     The edited text has its last half replaced by the start of the next document. A null text counts as
-    empty; an only document is its own next one; an empty table gives no rows.
+    empty; an only document is its own next one; an empty table gives no rows. A very long text is held whole by one task, as
+    its fingerprint is, at some 40 bytes a word.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
