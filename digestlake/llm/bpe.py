@@ -12,6 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from digestlake.llm.words import mix
+
 #: The byte-level alphabet keeps printable Latin-1 bytes and moves the others, in order, to U+0100 and up.
 KEPT_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Fixed value: the only pre-tokenizer pattern that this module reads.
@@ -200,9 +202,15 @@ class Pieces:
         sizes = stop - begin
         upto = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else sizes
         rel = np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(upto, sizes)
-        weight = _powers(int(sizes.max()) if len(sizes) else 0)[rel]
-        names = np.add.reduceat((code[inside].astype(np.uint64) + np.uint64(1)) * weight, upto) if len(sizes) else np.empty(0, np.uint64)
+        weights = _weights(int(sizes.max()) if len(sizes) else 0)
+        letters = code[inside].astype(np.uint64) + np.uint64(1)
+        names, checks = (np.add.reduceat(letters * w[rel], upto) if len(sizes) else np.empty(0, np.uint64) for w in weights)
+        del letters, rel
         self.names, where, self.word = np.unique(names, return_index=True, return_inverse=True)
+        self.checks = checks[where]
+        if (self.checks[self.word] != checks).any():  # two words of one name: both numbers together name them then
+            self.names, where, self.word = np.unique(mix(names ^ mix(checks)), return_index=True, return_inverse=True)
+            self.checks = checks[where]
         self.counts = np.bincount(self.word, minlength=len(self.names))
         raw = joined.encode()
         if len(raw) == len(code):
@@ -235,37 +243,45 @@ class Pieces:
         return [raw[x:y] for x, y in zip(a, b, strict=True)]
 
 
+#: Words up to so many characters are named from a table that a worker keeps.
+TABLE = 1 << 12
+
+
 @lru_cache(maxsize=1)
-def _power_table(size: int) -> np.ndarray:
-    return np.cumprod(np.full(size, 0x9E3779B97F4A7C15 | 1, np.uint64))
+def _table() -> tuple[np.ndarray, np.ndarray]:
+    return _made_weights(TABLE)
+
+
+def _made_weights(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumprod(np.full(size, 0x9E3779B97F4A7C15, np.uint64)), mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _powers(longest: int) -> np.ndarray:
-    return _power_table(1 << max(10, int(longest).bit_length()))
+def _weights(longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in a word the factors of its two names: powers of one number, and numbers that have no relation."""
+    return _table() if longest <= TABLE else _made_weights(longest)
 
 
 class Memory:
-    """What a worker has learnt of words, by the 64-bit names that Pieces gives them, as sorted arrays."""
+    """What a worker has learnt of words, by the two 64-bit names that Pieces gives them, as arrays sorted by the first."""
 
     def __init__(self, limit: int = MEMORY_WORDS):
         self.limit = limit
-        self.names = np.empty(0, np.uint64)
-        self.values = np.empty(0, np.int64)
+        self.clear()
 
-    def get(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and which of the names are unknown."""
+    def get(self, names: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and which of the words are unknown: those of which not both names agree."""
         if not len(self.names):
             return np.zeros(len(names), np.int64), np.arange(len(names))
         at = np.searchsorted(self.names, names)
         at[at == len(self.names)] = 0
-        return self.values[at], np.flatnonzero(self.names[at] != names)
+        return self.values[at], np.flatnonzero((self.names[at] != names) | (self.checks[at] != checks))
 
     def clear(self) -> None:
-        self.names, self.values = self.names[:0], self.values[:0]
+        self.names, self.checks, self.values = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
 
-    def put(self, names: np.ndarray, values: np.ndarray) -> None:
+    def put(self, names: np.ndarray, checks: np.ndarray, values: np.ndarray) -> None:
         if len(self.names) + len(names) > self.limit:
             self.clear()
-        names, values = np.r_[self.names, names], np.r_[self.values, values]
+        names, checks, values = np.r_[self.names, names], np.r_[self.checks, checks], np.r_[self.values, values]
         order = np.argsort(names, kind="stable")
-        self.names, self.values = names[order], values[order]
+        self.names, self.checks, self.values = names[order], checks[order], values[order]

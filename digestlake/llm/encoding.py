@@ -6,6 +6,7 @@ is then encoded by walking the transducer, and words outside of it are merged ex
 """
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,18 +32,24 @@ LEXICON_BYTES = 48
 def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """word binary, n long: how often each pre-token of at most LEXICON_BYTES bytes occurs in all documents.
 
-    Texts that the library has to split are left out: they never use the lexicon.
+    Texts that the library has to split are counted by the words that it gives.
     """
 
+    def batch(words: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+        keep = np.fromiter(map(len, words), np.int64, len(words)) <= LEXICON_BYTES
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).filter(pa.array(keep)), pa.array(counts[keep])], ["word", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer)
         for b in batches:
-            texts = [t for t in b.column("text").to_pylist() if t and vocab.is_plain(t)]
-            for some in slices(texts, len):
+            texts = [t for t in b.column("text").to_pylist() if t]
+            plain = [vocab.is_plain(t) for t in texts]
+            for some in slices([t for t, p in zip(texts, plain, strict=True) if p], len):
                 pieces = Pieces(some)
-                words = pieces.spelled(np.arange(len(pieces.names)))
-                keep = np.fromiter(map(len, words), np.int64, len(words)) <= LEXICON_BYTES
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).filter(pa.array(keep)), pa.array(pieces.counts[keep])], ["word", "n"])
+                yield batch(pieces.spelled(np.arange(len(pieces.names))), pieces.counts)
+            for some in slices([t for t, p in zip(texts, plain, strict=True) if not p], len):
+                split = Counter(w for t in some for w in vocab.words(t) if not isinstance(w, int))
+                yield batch(list(split), np.fromiter(split.values(), np.int64, len(split)))
 
     rows = id_and_text(docs).select("text").mapInArrow(count, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -102,7 +109,7 @@ class Encoder:
 
     def remembered(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """Where in the store the ids of each distinct word begin, and how many they are."""
-        value, unknown = self.memory.get(pieces.names)
+        value, unknown = self.memory.get(pieces.names, pieces.checks)
         if len(unknown):
             ids, counts = self.word_ids(pieces.spelled(unknown))
             if len(self.memory.names) + len(unknown) > self.memory.limit:
@@ -115,7 +122,7 @@ class Encoder:
             self.store[self.used : self.used + len(ids)] = ids
             value[unknown] = (self.used + np.cumsum(counts) - counts) << 32 | counts
             self.used += len(ids)
-            self.memory.put(pieces.names[unknown], value[unknown])
+            self.memory.put(pieces.names[unknown], pieces.checks[unknown], value[unknown])
         return value >> 32, value & 0xFFFFFFFF
 
     def word_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +163,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS)
     """doc_id, n_tokens, ids binary (little-endian unsigned 32-bit), decoded string for every row of docs.
 
     Null and empty texts give no ids and an empty decoded string; repeated rows are encoded each; an empty
-    table gives no rows. tokenizer: path of the tokenizer file on every worker.
+    table gives no rows. tokenizer: path of the tokenizer file on every worker. A very long text is taken whole by one task, at
+    some 60 bytes a character.
     """
     return _encoded(docs, tokenizer, size, "doc_id long, n_tokens long, ids binary, decoded string", lambda ids, text: (ids.tobytes(), text))
 
