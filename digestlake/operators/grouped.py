@@ -17,8 +17,8 @@ def on_whole_groups(rows: DataFrame, key: str, order: list[str], make: Callable[
         held = None
         for frame in frames:
             held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            keys = held[key].to_numpy()
-            cut = int(np.argmax(keys == keys[-1])) if len(keys) else 0
+            codes = pd.factorize(held[key], use_na_sentinel=False)[0]  # null keys are one group, as they are to Spark
+            cut = int(np.argmax(codes == codes[-1])) if len(codes) else 0
             if cut:
                 yield make(held.iloc[:cut])
                 held = held.iloc[cut:].reset_index(drop=True)

@@ -23,28 +23,39 @@ def walk(seeds: DataFrame, findings: DataFrame, hops: int = MAX_HOPS, cap: int |
     seeds: query_id, scheme, digest. findings: finding_id, coords (array of struct<scheme, digest>). A finding is kept once a
     query, at the coordinate that met it first. At most cap findings a query are kept, in the order of hops, then
     coordinates and findings; all of them if cap is None. Each hop joins the new coordinates to an index and is cut from its lineage.
+
+    The cap holds within each hop, and a query that has reached it goes no further. A digest that more than cap findings state is joined
+    to the first cap of them, which are all that a walk can keep, so that no digest makes more than cap rows a query.
     """
     stated = findings.select("finding_id", F.explode("coords").alias("c")).select("finding_id", "c.scheme", "c.digest")
+    index = stated
+    if cap is not None:
+        first = F.row_number().over(Window.partitionBy("scheme", "digest").orderBy("finding_id"))
+        index = stash(stated.withColumn("_n", first).where(F.col("_n") <= cap).drop("_n"), "index")
     order = Window.partitionBy("query_id", "finding_id").orderBy("scheme", "digest")
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy("scheme", "digest", "finding_id"))
     frontier = seeds.select("query_id", "scheme", "digest").distinct()
     visited, evidence = frontier, None
     for hop in range(hops):
-        met = frontier.join(stated, ["scheme", "digest"]).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        met = frontier.join(index, ["scheme", "digest"]).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
         if evidence is not None:
             met = met.join(evidence, ["query_id", "finding_id"], "left_anti")
+        if cap is not None:
+            met = met.withColumn("_n", turn).where(F.col("_n") <= cap)
+            if evidence is not None:
+                met = met.join(evidence.groupBy("query_id").agg(F.count("*").alias("_held")), "query_id").where(F.col("_n") + F.col("_held") <= cap)
         fresh = stash(met.select("query_id", F.lit(hop).cast("long").alias("hop"), "scheme", "digest", "finding_id"), "walk")
         evidence = fresh if evidence is None else evidence.unionByName(fresh)
         if fresh.isEmpty():
             break
         reached = fresh.select("query_id", "finding_id").join(stated, "finding_id").select("query_id", "scheme", "digest").distinct()
+        if cap is not None:
+            reached = reached.join(evidence.groupBy("query_id").count().where(F.col("count") >= cap), "query_id", "left_anti")
         frontier = stash(reached.join(visited, ["query_id", "scheme", "digest"], "left_anti"), "frontier")
         visited = visited.unionByName(frontier)
         if frontier.isEmpty():
             break
-    if cap is None:
-        return evidence
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "scheme", "digest", "finding_id"))
-    return evidence.withColumn("_n", rank).where(F.col("_n") <= cap).drop("_n")
+    return evidence
 
 
 def coordinates(evidence: DataFrame, findings: DataFrame) -> DataFrame:
@@ -95,7 +106,7 @@ def clusters(evidence: DataFrame, findings: DataFrame, queried: DataFrame) -> Da
         return pd.DataFrame(out, columns=["query_id", "cluster", "finding_ids", "coords", "anchored", "primary"])
 
     def groups(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([group(part) for _, part in frame.groupby("query_id", sort=False)])
+        return pd.concat([group(part) for _, part in frame.groupby("query_id", sort=False, dropna=False)])
 
     return on_whole_groups(rows, "query_id", ["hop", "finding_id"], groups, CLUSTERS)
 

@@ -15,15 +15,26 @@ INLINE_BYTES, LONGEST_RUN = 64, 8
 def overlaps(left: DataFrame, right: DataFrame, key: str, bucket: int) -> DataFrame:
     """Pairs of ranges (key, a, b: from a to before b) of one key that overlap, with where: left, right ids and lo, hi.
 
-    Both sides go to the buckets of positions that they touch and meet there, so that the join is on equal keys; a pair is
-    kept in the first bucket that both touch alone. left has lid, right has rid.
+    Every range lies in at most two cells of the first power of two that is no less than its length (and than bucket). It is dealt to
+    those, and to its cells of the larger sizes that other ranges have; two ranges meet in cells of the larger of their sizes. So the join is
+    on equal keys, and a range of any length makes two rows for each size there is, at most 64. A pair is kept in
+    the first cell that both touch alone. left has lid, right has rid; a and b are not negative.
     """
-    spread = lambda df: df.where("b > a").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("a") / bucket), F.floor((F.col("b") - 1) / bucket))))
-    one = spread(left).select(key, "_bucket", "lid", F.col("a").alias("la"), F.col("b").alias("lb"))
-    other = spread(right).select(key, "_bucket", "rid", F.col("a").alias("ra"), F.col("b").alias("rb"))
+    least = max(0, (bucket - 1).bit_length())
+    size = F.greatest(F.length(F.bin(F.col("b") - F.col("a") - 1)), F.lit(least)).cast("int")
+    own = lambda df: df.where("b > a").withColumn("_own", size)
+    left, right = own(left), own(right)
+    sizes = sorted(r["_own"] for r in left.select("_own").union(right.select("_own")).distinct().collect())  # at most 64 numbers
+
+    def dealt(df: DataFrame) -> DataFrame:
+        sized = df.withColumn("_size", F.explode(F.filter(F.lit(sizes) if sizes else F.array().cast("array<int>"), lambda x: x >= F.col("_own"))))
+        return sized.withColumn("_cell", F.explode(F.expr("sequence(shiftright(a, _size), shiftright(b - 1, _size))")))
+
+    one = dealt(left).select(key, "_size", "_cell", F.col("_own").alias("_l"), "lid", F.col("a").alias("la"), F.col("b").alias("lb"))
+    other = dealt(right).select(key, "_size", "_cell", F.col("_own").alias("_r"), "rid", F.col("a").alias("ra"), F.col("b").alias("rb"))
     lo, hi = F.greatest("la", "ra"), F.least("lb", "rb")
-    met = one.join(other, [key, "_bucket"]).where((lo < hi) & (F.floor(lo / bucket) == F.col("_bucket")))
-    return met.select(key, "lid", "rid", lo.alias("lo"), hi.alias("hi"))
+    met = one.join(other, [key, "_size", "_cell"]).where((lo < hi) & (F.greatest("_l", "_r") == F.col("_size")))
+    return met.withColumns({"lo": lo, "hi": hi}).where("shiftright(lo, _size) = _cell").select(key, "lid", "rid", "lo", "hi")
 
 
 def united(ranges: DataFrame, key: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Looking digests up in key-sorted tables: capped lists with honest totals, weak keys by way of strong ones, rows by number."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from digestlake.session import stash
+
 #: Map rows that are read for a weak key, and the strong digests that are followed.
 MAP_READ, MAP_KEPT = 8, 3
 
@@ -46,18 +48,17 @@ def by_scheme(queries: DataFrame, table: DataFrame, schemes: list[str], keep: li
 
 
 def numbered(rows: DataFrame, order: list[str], column: str) -> DataFrame:
-    """Dense numbers from 0 in the given order, without a window over all rows: ranks within ranges, and how many rows the ranges before hold."""
-    columns, lead = rows.columns, order[0]
-    if dict(rows.dtypes)[lead] == "string":  # ranges by the first two characters: digests spread evenly over them
-        tagged = rows.withColumn("_range", F.coalesce(F.substring(lead, 1, 2), F.lit("")))
-    else:
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cuts = rows.stat.approxQuantile(lead, [k / parts for k in range(1, parts)], 0.001)
-        tagged = rows.withColumn("_range", F.size(F.filter(F.lit([float(c) for c in sorted(set(cuts))]), lambda c: c < F.col(lead))) if cuts else F.lit(0))
-    sizes = tagged.groupBy("_range").count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
-    ranked = tagged.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return ranked.join(F.broadcast(before), "_range").select(*columns, (F.col("_before") + F.col("_rank") - 1).alias(column))
+    """Dense numbers from 0 in the given order, without a window over all rows.
+
+    The rows are written once in ranges of the order, which Spark samples whatever the types; a row's number is its place in its
+    range and how many rows the ranges before hold, a number for each range.
+    """
+    columns = rows.columns
+    placed = stash(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).count()
+    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").select(*columns, (F.col("_before") + place).alias(column))
 
 
 def rows_at(numbered_rows: DataFrame, number: str, wanted: DataFrame) -> DataFrame:
@@ -75,8 +76,3 @@ def strongest(rows: DataFrame, group: list[str], scheme: str, schemes: list[str]
     """Of the rows of each group the one whose scheme comes first in schemes."""
     rank = F.array_position(F.lit(schemes), F.col(scheme))
     return rows.where(rank > 0).groupBy(*group).agg(F.min_by(F.struct(*rows.columns), rank).alias("row")).select("row.*")
-
-
-def best(value: Column, *order: Column) -> Column:
-    """The value of the row that is largest by order."""
-    return F.max_by(value, F.struct(*order))

@@ -187,7 +187,7 @@ def git_trees(files: DataFrame) -> DataFrame:
 
     def trees(frame: pd.DataFrame) -> pd.DataFrame:
         made = []
-        for root, part in frame.groupby("root", sort=False):
+        for root, part in frame.groupby("root", sort=False, dropna=False):
             top: dict = {}
             for path, blob, executable in zip(part["path"], part["blob"], part["executable"], strict=True):
                 *above, name = path.split("/")

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from digestlake.functions.digests import IDENTITY_FLOOR
+from digestlake.session import stash
 
 #: Fixed value: containers lie within containers so deep at most.
 MAX_DEPTH = 16
@@ -28,12 +29,14 @@ def tiers(files: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def ancestors(members: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """member_id, ancestor_id for every ancestor of every member, one join for each level that is there."""
-    parents = members.where("parent_id is not null").select("member_id", F.col("parent_id").alias("ancestor_id"))
+    """member_id, ancestor_id for every ancestor of every member: one join for each level that is there, written before the next."""
+    parents = stash(members.where("parent_id is not null").select("member_id", F.col("parent_id").alias("ancestor_id")), "parents")
+    up = parents.select(F.col("member_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"))
     step, every = parents, parents
     for _ in range(depth - 1):
-        up = parents.select(F.col("member_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"))
-        step = step.join(up, "ancestor_id").select("member_id", F.col("next").alias("ancestor_id"))
+        step = stash(step.join(up, "ancestor_id").select("member_id", F.col("next").alias("ancestor_id")), "ancestors")
+        if step.isEmpty():
+            break
         every = every.unionByName(step)
     return every
 
@@ -57,14 +60,16 @@ def rollups(members: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
 def tree_paths(members: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """member_id, path: ordinals from the root, of fixed width, so that the order of paths is that of a walk into depth first.
 
-    members: member_id, parent_id, ord.
+    members: member_id, parent_id, ord. One join for each level that is there, written before the next.
     """
     own = lambda c: F.lpad(c.cast("string"), 10, "0")
     level = members.where("parent_id is null").select("member_id", own(F.col("ord")).alias("path"))
-    every = level
+    every = level = stash(level, "paths")
     for _ in range(depth):
         below = members.select("member_id", F.col("parent_id"), "ord").join(level.select(F.col("member_id").alias("parent_id"), F.col("path").alias("up")), "parent_id")
-        level = below.select("member_id", F.concat_ws("/", "up", own(F.col("ord"))).alias("path"))
+        level = stash(below.select("member_id", F.concat_ws("/", "up", own(F.col("ord"))).alias("path")), "paths")
+        if level.isEmpty():
+            break
         every = every.unionByName(level)
     return every
 

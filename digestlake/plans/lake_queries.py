@@ -13,20 +13,11 @@ WEAK = 3
 NOW = "TIMESTAMP '2024-01-20 00:00:00'"
 
 
-@C.query("""WITH w AS (SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE doc_id % 10 = 0),
-d AS (SELECT sha256(text) AS sha256, doc_id, source FROM documents),
-r AS (SELECT d.*, row_number() OVER (PARTITION BY sha256 ORDER BY doc_id) AS pos, count(*) OVER (PARTITION BY sha256) AS total FROM d JOIN w USING (sha256))
-SELECT sha256, doc_id, source, pos, total FROM r WHERE pos <= 2""")
-def point_lookup_capped(t):
-    table = t.documents.select(F.sha2("text", 256).alias("sha256"), "doc_id", "source")
-    return lookup.point_lookup(table, "sha256", table.where("doc_id % 10 = 0"), ["doc_id"], 2)
-
-
 @C.query("""WITH w AS (SELECT sha256(text) AS sha256 FROM documents UNION SELECT sha256(html) FROM pages),
 d AS (SELECT sha256(text) AS sha256, doc_id, source FROM documents),
 r AS (SELECT d.*, row_number() OVER (PARTITION BY sha256 ORDER BY doc_id) AS pos, count(*) OVER (PARTITION BY sha256) AS total FROM d JOIN w USING (sha256))
 SELECT sha256, doc_id, source, pos, total FROM r WHERE pos <= 2""")
-def point_lookup_all(t):
+def point_lookup_capped(t):
     """Every digest of documents, and those of pages, most of which are absent."""
     table = t.documents.select(F.sha2("text", 256).alias("sha256"), "doc_id", "source")
     return lookup.point_lookup(table, "sha256", table.select("sha256").unionByName(t.pages.select(F.sha2("html", 256).alias("sha256"))), ["doc_id"], 2)
@@ -78,7 +69,8 @@ def _findings(t):
 
 
 def _seeds(t):
-    return t.documents.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), F.lit("md5").alias("scheme"), F.md5("text").alias("digest"))
+    """Every distinct md5."""
+    return t.documents.groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("query_id")).select("query_id", F.lit("md5").alias("scheme"), "digest")
 
 
 FINDINGS_SQL = f"""
@@ -86,23 +78,24 @@ s AS (SELECT doc_id * 3 AS finding_id, 'sha256' AS scheme, sha256(text) AS diges
  UNION ALL SELECT doc_id * 3 + 1, 'md5', md5(text) FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id * 3 + 1, 'sha256', sha256(text) FROM documents WHERE doc_id % 2 = 1
  UNION ALL SELECT doc_id * 3 + 2, 'md5', md5(text) FROM documents WHERE doc_id % 4 = 0),
 w(query_id, scheme, digest, finding_id, hop) AS (
- SELECT doc_id, 'md5', md5(text), NULL::BIGINT, -1 FROM documents WHERE doc_id % 5 = 0
+ SELECT min(doc_id), 'md5', md5(text), NULL::BIGINT, -1 FROM documents GROUP BY md5(text)
  UNION SELECT w.query_id, b.scheme, b.digest, a.finding_id, w.hop + 1 FROM w JOIN s a ON a.scheme = w.scheme AND a.digest = w.digest JOIN s b ON b.finding_id = a.finding_id WHERE w.hop < {{hops}} - 1)"""
 
 
-@C.query(f"WITH RECURSIVE {FINDINGS_SQL.format(hops=3)} SELECT query_id, finding_id, CAST(min(hop) AS BIGINT) AS hop FROM w WHERE finding_id IS NOT NULL GROUP BY query_id, finding_id")
-def crosswalk_walk(t):
-    return identity.walk(_seeds(t), _findings(t), hops=3, cap=100_000).select("query_id", "finding_id", "hop")
+WALK_SQL = f"WITH RECURSIVE {FINDINGS_SQL.format(hops=identity.MAX_HOPS)} SELECT query_id, finding_id, CAST(min(hop) AS BIGINT) AS hop FROM w WHERE finding_id IS NOT NULL GROUP BY query_id, finding_id"
 
 
-WHOLE_SQL = FINDINGS_SQL.replace("SELECT doc_id, 'md5', md5(text), NULL::BIGINT, -1 FROM documents WHERE doc_id % 5 = 0", "SELECT min(doc_id), 'md5', md5(text), NULL::BIGINT, -1 FROM documents GROUP BY md5(text)")
+@C.query(WALK_SQL)
+def crosswalk_walk(t):
+    """From every distinct md5, as far as the operator goes, with its bound of findings a query; in the tables that the SQL is run
+    over, no query comes to the bound."""
+    return identity.walk(_seeds(t), _findings(t)).select("query_id", "finding_id", "hop")
 
 
-@C.query(f"WITH RECURSIVE {WHOLE_SQL.format(hops=identity.MAX_HOPS)} SELECT query_id, finding_id, CAST(min(hop) AS BIGINT) AS hop FROM w WHERE finding_id IS NOT NULL GROUP BY query_id, finding_id")
+@C.query(WALK_SQL)
 def crosswalk_walk_all(t):
-    """From every distinct md5, as far as the operator goes, and all findings."""
-    seeds = t.documents.groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("query_id")).select("query_id", F.lit("md5").alias("scheme"), "digest")
-    return identity.walk(seeds, _findings(t), cap=None).select("query_id", "finding_id", "hop")
+    """The same without the bound."""
+    return identity.walk(_seeds(t), _findings(t), cap=None).select("query_id", "finding_id", "hop")
 
 
 @C.query("""WITH g AS (SELECT md5(text) AS m, list(doc_id ORDER BY doc_id) AS ids, any_value(sha256(text)) AS sha256 FROM documents GROUP BY md5(text))
@@ -235,7 +228,7 @@ a AS (SELECT 'r' || r AS container_id, class FROM o UNION ALL SELECT 'n' || n, c
  SELECT 'r' || r, 'unknown' FROM c WHERE c NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'n' || n, 'unknown' FROM c WHERE c NOT IN (SELECT o_custkey FROM orders))
 SELECT container_id, count(*) AS total, count(*) FILTER (class IN ('identified', 'membership')) AS known, count(*) FILTER (class = 'unknown') AS unknown, count(*) FILTER (class = 'floor') AS floor FROM a GROUP BY container_id""")
 def container_rollup(t):
-    return verdicts.rollups(_tree(t), depth=4)
+    return verdicts.rollups(_tree(t))
 
 
 def _tree(t):
@@ -251,10 +244,11 @@ def _tree(t):
 
 
 @C.query("""WITH x AS (SELECT 'r' || r_regionkey AS member_id, printf('%010d', r_regionkey) AS path FROM region UNION ALL SELECT 'n' || n_nationkey, printf('%010d/%010d', n_regionkey, n_nationkey) FROM nation
- UNION ALL SELECT 'c' || c_custkey, printf('%010d/%010d/%010d', n_regionkey, n_nationkey, c_custkey) FROM customer JOIN nation ON c_nationkey = n_nationkey)
+ UNION ALL SELECT 'c' || c_custkey, printf('%010d/%010d/%010d', n_regionkey, n_nationkey, c_custkey) FROM customer JOIN nation ON c_nationkey = n_nationkey
+ UNION ALL SELECT 'o' || o_orderkey, printf('%010d/%010d/%010d/%010d', n_regionkey, n_nationkey, c_custkey, o_orderkey) FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey)
 SELECT member_id, row_number() OVER (ORDER BY path) AS place FROM x""")
 def tree_order(t):
-    paths = verdicts.tree_paths(_tree(t).where("member_id not like 'o%'"), depth=3)
+    paths = verdicts.tree_paths(_tree(t))
     return lookup.numbered(paths, ["path"], "n").select("member_id", (F.col("n") + 1).cast("long").alias("place"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 #: How deep containers are entered, and how many members one root may have.
 MAX_DEPTH, MAX_MEMBERS = 16, 1_000_000
-SCHEMA = "root string, member_id long, parent_id long, ord long, depth int, path string, kind string, size long, md5 string, sha1 string, sha256 string, sha1_git string, note string"
+SCHEMA = "root string, member_id long, parent_id long, ord long, depth int, path string, kind string, size long, md5 string, sha1 string, sha256 string, sha1_git string, sha512 string, blake2s256 string, note string"
 WRAPPERS = ("gzip", "xz", "zstd", "bzip2")
 #: What a cheap walk enters: formats with a table of contents. A full one enters all that has a parser.
 CHEAP = ("zip", "iso9660", "fat")
@@ -282,11 +282,12 @@ def walk(root: str, data: bytes, policy: str = "full", known: Callable[[str], bo
 
     def add(path: str, name: str, content: bytes, parent: int | None, ord_: int, depth: int) -> None:
         if len(rows) >= MAX_MEMBERS:
+            rows[0][-1] = f"cut off after {MAX_MEMBERS} members"
             return
         kind, me = sniffed(content, name), len(rows)
         sha256 = hashlib.sha256(content).hexdigest()
         git = hashlib.sha1(b"blob %d\0" % len(content) + content).hexdigest()
-        rows.append([root, me, parent, ord_, depth, path, kind, len(content), hashlib.md5(content).hexdigest(), hashlib.sha1(content).hexdigest(), sha256, git, None])
+        rows.append([root, me, parent, ord_, depth, path, kind, len(content), hashlib.md5(content).hexdigest(), hashlib.sha1(content).hexdigest(), sha256, git, hashlib.sha512(content).hexdigest(), hashlib.blake2s(content).hexdigest(), None])
         enters = policy == "full" and (kind in PARSERS or kind in WRAPPERS) or policy == "cheap" and kind in CHEAP
         if not enters or (depth and known(sha256)):
             return

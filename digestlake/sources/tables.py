@@ -29,15 +29,24 @@ def mark(spark: SparkSession, path: str, revision: str, files: int) -> None:
 
 
 def revision(spark: SparkSession, path: str) -> str | None:
-    try:
-        return spark.read.json(f"{path}/{REVISION}").first()["revision"]
-    except Exception:  # no marker, whatever the store says about it
+    """The revision of a complete table; none where the marker is not there. Other errors of the store are raised."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{REVISION}")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
         return None
+    row = spark.read.schema("revision string, files long").json(f"{path}/{REVISION}").first()
+    return row["revision"] if row else None
+
+
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a complete table; one that is not there has none to give, one without its marker is an error."""
+    if revision(spark, path) is None:
+        raise ValueError(f"{path} has no {REVISION}: it is not there, or was not written to the end")
+    return spark.read.parquet(path)
 
 
 def read_keys(spark: SparkSession, path: str, key: str, digests: list[str]) -> DataFrame:
-    """Rows for a few keys: a filter on shard and key that Spark pushes into the scan."""
-    rows = spark.read.parquet(path)
+    """Rows of a complete table for a few keys: a filter on shard and key that Spark pushes into the scan."""
+    rows = opened(spark, path)
     shards = sorted({d[:1] for d in digests})
     return rows.where(F.col("shard").isin(shards) & F.col(key).isin(list(digests))).drop("shard")
 
