@@ -196,7 +196,7 @@ def git_trees(files: DataFrame) -> DataFrame:
                     at = at.setdefault(step, {})
                 if name:
                     at[name] = (blob, executable)
-            made.append((root, tree_id(top)))
+            made.append((None if pd.isna(root) else root, tree_id(top)))
         return pd.DataFrame(made, columns=["root", "tree"])
 
     kind = dict(files.dtypes)["root"]
