@@ -141,46 +141,33 @@ def _anchored(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _window_names(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """doc_id, name: the distinct windows that shared anchors hold, of the documents in shared (doc_id, anchors)."""
+    """doc_id, name, proof: the distinct windows that shared anchors hold, of the documents in shared (doc_id, anchors).
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = list(zip(b.column("doc_id").to_pylist(), _texts(b), b.column("anchors"), strict=True))
-            for some in slices(rows, lambda x: len(x[1])):
-                words = Words([t for _, t, _ in some], EXACT_BYTES)
-                found, names = anchors(words, window).view(np.int64), chain(words.name, window, window)
-                for (doc_id, _, keys), a, e in zip(some, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                    own = found[a : max(a, e - window + 1)]
-                    made = np.unique(names[a : a + len(own)][np.isin(own, keys.values.to_numpy())])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made), doc_id, np.int64)), pa.array(made.view(np.int64))], ["doc_id", "name"])
-
-    return docs.join(shared, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_joined(name), "doc_id long, name long")
-
-
-def _proofs(docs: DataFrame, met: DataFrame, window: int) -> DataFrame:
-    """doc_id, name, proof: the windows of met (doc_id, names) with their second name, made of another naming of their words.
-
-    Windows of which both names agree, 128 bits, are taken as equal. Only windows that the first name holds for repeated come here.
+    name has 64 bits, proof 32 bits of another name that is made of another naming of the words. Windows of which both
+    agree, 96 bits, are taken as equal.
     """
 
-    def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(b.column("doc_id").to_pylist(), _texts(b), b.column("names"), strict=True))
+            rows = list(zip(b.column("doc_id").to_pylist(), _texts(b), b.column("anchors"), strict=True))
             for some in slices(rows, lambda x: len(x[1])):
                 words = Words([t for _, t, _ in some], EXACT_BYTES, proofs=True)
-                names, proofs = named(words, window)
+                found, (names, proofs) = anchors(words, window).view(np.int64), named(words, window)
                 for (doc_id, _, keys), a, e in zip(some, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                    own = slice(a, max(a, e - window + 1))
-                    hit = np.isin(names[own].view(np.int64), keys.values.to_numpy())
-                    made = np.unique(np.stack([names[own][hit], proofs[own][hit]]).view(np.int64), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(made.shape[1], doc_id, np.int64)), pa.array(made[0]), pa.array(made[1])], ["doc_id", "name", "proof"])
+                    own = found[a : max(a, e - window + 1)]
+                    hit = np.isin(own, keys.values.to_numpy())
+                    held, proof = names[a : a + len(own)][hit], proofs[a : a + len(own)][hit]
+                    order = np.lexsort((proof, held))
+                    held, proof = held[order], proof[order]
+                    once = np.r_[True, (held[1:] != held[:-1]) | (proof[1:] != proof[:-1])][: len(held)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(once.sum()), doc_id, np.int64)), pa.array(held[once]), pa.array(proof[once])], ["doc_id", "name", "proof"])
 
-    return docs.join(met, "doc_id").select("doc_id", "text", "names").mapInArrow(_joined(prove), "doc_id long, name long, proof long")
+    return docs.join(shared, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_joined(name), "doc_id long, name long, proof int")
 
 
 def named(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two names of the window that starts at each word."""
-    return chain(words.name, window, window), chain(words.proof, window, 1000 + window)
+    """The name and the proof of the window that starts at each word."""
+    return chain(words.name, window, window).view(np.int64), (chain(words.proof, window, 1000 + window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _joined(make):
@@ -213,12 +200,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     discard(anchored)
     windows = stash(_window_names(docs, shared, window), "windows")
     discard(shared)
-    met = stash(windows.join(_first_of(windows, "name"), "name").groupBy("doc_id").agg(F.collect_list("name").alias("names")), "met")
+    first = windows.groupBy("name", "proof").agg(F.min("doc_id").alias("first"))
+    repeats = stash(windows.join(first, ["name", "proof"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("name", "proof")).alias("names")), "repeats")
     discard(windows)
-    proved = stash(_proofs(docs, met, window), "proved")
-    discard(met)
-    repeats = stash(proved.join(_first_of(proved, "name", "proof"), ["name", "proof"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("name", "proof")).alias("names")), "repeats")
-    discard(proved)
     return repeats
 
 
@@ -251,7 +235,7 @@ def _kept(docs: DataFrame, window: int, column: str, shape) -> DataFrame:
                 cover = np.zeros(len(words), bool)
                 if names.is_valid and len(words) >= window:
                     known, proved = (names.values.field(k).to_numpy() for k in (0, 1))
-                    own, proofs = (x.view(np.int64) for x in named(Words([text], EXACT_BYTES, proofs=True), window))
+                    own, proofs = named(Words([text], EXACT_BYTES, proofs=True), window)
                     hit = np.isin(own, known)
                     at = np.flatnonzero(hit)
                     right = set(zip(known.tolist(), proved.tolist(), strict=True))
