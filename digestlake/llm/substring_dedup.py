@@ -200,9 +200,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     discard(anchored)
     windows = stash(_window_names(docs, shared, window), "windows")
     discard(shared)
-    first = windows.groupBy("name", "proof").agg(F.min("doc_id").alias("first"))
+    first = stash(_first_of(windows, "name", "proof"), "first")  # the shuffle of the aggregate goes before that of the join begins
     repeats = stash(windows.join(first, ["name", "proof"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("name", "proof")).alias("names")), "repeats")
-    discard(windows)
+    discard(windows, first)
     return repeats
 
 
