@@ -9,9 +9,11 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from digestlake.functions.digests import bloom_key
+
 #: The hash, its modulus and multiplier, and the header of six little-endian words.
 FNV_START, FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 MODULUS, MULTIPLIER = np.uint64(2**64 - 87), np.uint64(18446744073709550147)
@@ -144,3 +146,52 @@ def parsed(data: bytes, what: str = "filter") -> dict:
     if len(data) < HEADER.size + -(-m // 64) * 8:
         raise ValueError(f"{what}: truncated")
     return {"n": n, "p": p, "k": k, "m": m, "n_elements": n_elements, "words": np.frombuffer(data, "<u8", -(-m // 64), HEADER.size)}
+
+
+#: The schemes that lists of digests may have, with the length of their hex form.
+LISTED = {"md5": 32, "sha1": 40, "sha256": 64}
+
+
+def listed_keys(spark: SparkSession, paths: list[str], scheme: str) -> DataFrame:
+    """key: the digests of text files of one a line, in the scheme's written form. Blank lines count for nothing; any other is an error."""
+    if scheme not in LISTED:
+        raise ValueError(f"no lists of {scheme}")
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    good = line.rlike(f"^[0-9A-Fa-f]{{{LISTED[scheme]}}}$")
+    wrong = F.raise_error(F.concat(F.lit(f"not a digest of {scheme}: "), line))
+    return spark.read.text(paths).where(line != "").select(F.when(good, bloom_key(F.lit(scheme), F.lower(line))).otherwise(wrong).alias("key"))
+
+
+def from_lists(spark: SparkSession, paths: list[str], scheme: str, p: float) -> bytes:
+    """The file of a filter sized for the lines of these lists, repeated ones included."""
+    keys = listed_keys(spark, paths, scheme)
+    n = keys.where("key is not null").count()
+    if not n:
+        raise ValueError("the lists hold no digest")
+    m, k = size_for(n, p)
+    return file_bytes(build(keys, "key", k, m), n, p, k, m, n)
+
+
+def installed(spark: SparkSession, path: str) -> list[dict]:
+    """name, scheme, bytes, n and n_elements of the filters NAME.SCHEME.bloom in a folder, the smallest first, as they are to be asked.
+
+    Headers alone are read.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, found = at.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for entry in fs.listStatus(at) if fs.exists(at) else []:
+        parts = entry.getPath().getName().rsplit(".", 2)
+        if len(parts) != 3 or parts[2] != "bloom":
+            continue
+        stream = fs.open(entry.getPath())
+        try:
+            head = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(HEADER.size, entry.getLen())))
+        finally:
+            stream.close()
+        if len(head) < HEADER.size:
+            raise ValueError(f"{entry.getPath()}: too short")
+        version, n, _, _, _, n_elements = HEADER.unpack(head)
+        if version & 0xFF != VERSION:
+            raise ValueError(f"{entry.getPath()}: unsupported version {version}")
+        found.append({"name": parts[0], "scheme": parts[1], "bytes": entry.getLen(), "n": n, "n_elements": n_elements})
+    return sorted(found, key=lambda f: (f["bytes"], f["name"], f["scheme"]))

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,3 +115,26 @@ def valid_hex(text: Column, chars: int) -> Column:
 def shard(digest: Column) -> Column:
     """The partition of a digest: its first nibble; null digests go to the last one."""
     return F.coalesce(F.substring(digest, 1, 1), F.lit("znull"))
+
+
+def table_checksum(data: Column, table: list[int]) -> Column:
+    """Hex of two little-endian 32-bit sums: of the table's numbers for the bytes, and of that sum after each byte. Null stays null.
+
+    The 256 numbers are those of the format that is to be written, and a parameter.
+    """
+    numbers = np.array(table, np.uint32)
+    if numbers.shape != (256,):
+        raise ValueError("need a number for each of 256 bytes")
+
+    @F.pandas_udf("string")
+    def sums(values: pd.Series) -> pd.Series:
+        def of(content: bytes) -> str:
+            first = second = 0
+            for at in range(0, len(content), 1 << 20):
+                steps = np.cumsum(numbers[np.frombuffer(content[at : at + (1 << 20)], np.uint8)], dtype=np.uint64) + np.uint64(first)
+                first, second = int(steps[-1]) & 0xFFFFFFFF, (second + int(steps.sum())) & 0xFFFFFFFF
+            return (first.to_bytes(4, "little") + second.to_bytes(4, "little")).hex()
+
+        return pd.Series([None if v is None else of(v) for v in values], index=values.index, dtype=object)
+
+    return sums(data)

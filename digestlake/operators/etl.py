@@ -82,3 +82,8 @@ def signature(rows: DataFrame, columns: list[str]) -> DataFrame:
 def out_of_order(ranges: DataFrame, low: str, high: str) -> DataFrame:
     """How many ranges begin before the one in front of them ends. ranges is one row per file or row group: few."""
     return ranges.withColumn("_up", F.lag(high).over(Window.orderBy(low, high))).agg(F.count_if(F.col(low) < F.col("_up")).alias("overlapping"))
+
+
+def counters(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """rows, and of how many of them each named condition holds, in one pass. Null is no."""
+    return rows.agg(F.count("*").alias("rows"), *[F.count_if(c).alias(name) for name, c in conditions.items()])

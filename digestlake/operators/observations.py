@@ -55,6 +55,11 @@ def committed(state: DataFrame, fresh: DataFrame, gone: DataFrame) -> DataFrame:
     return kept.unionByName(fresh.select(*state.columns))
 
 
+def stats(state: DataFrame) -> DataFrame:
+    """files, bytes: how much the index holds; an empty one holds nothing of both."""
+    return state.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+
+
 def located(state: DataFrame, digest: str) -> DataFrame:
     """Files with this sha1 or sha256."""
     return state.where((F.col("sha1") == digest) | (F.col("sha256") == digest))

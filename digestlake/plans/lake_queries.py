@@ -378,3 +378,15 @@ def longest_run(t):
     order = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("xs")).where("l_orderkey % 2 = 0")
     run = F.sha2(F.array_join(F.transform(F.slice("xs", 1, 3), lambda x: F.sha2(x["l_partkey"].cast("string"), 256)), ","), 256)
     return intervals.longest_runs(entries, order.select(run.alias("digest")), "l_orderkey")
+
+
+@C.query("""SELECT count(*) AS files, coalesce(sum(n_chars), 0)::BIGINT AS bytes FROM documents""")
+def index_stats(t):
+    return observations.stats(t.documents.select("doc_id", F.col("n_chars").alias("size")))
+
+
+@C.query("""SELECT count(*) AS "rows", count(*) FILTER (url LIKE 'https:%') AS encrypted, count(*) FILTER (html IS NULL OR html = '') AS empty,
+count(*) FILTER (length(html) > 2000) AS long FROM pages""")
+def harvest_counters(t):
+    html = F.col("html")
+    return etl.counters(t.pages, {"encrypted": F.col("url").like("https:%"), "empty": html.isNull() | (html == ""), "long": F.length(html) > 2000})

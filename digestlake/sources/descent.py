@@ -26,6 +26,12 @@ CHEAP = ("zip", "iso9660", "fat")
 Members = Iterator[tuple[str, bytes]]
 
 
+class Unreadable(bytes):
+    """Stands for the content of a member that is listed but cannot be read, for a stated reason."""
+
+    why = ""
+
+
 def sniffed(data: bytes, name: str) -> str:
     starts = [(b"!<arch>\n", "ar"), (b"\x1f\x8b", "gzip"), (b"\xfd7zXZ\0", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"), (b"PK\3\4", "zip"), (b"\xed\xab\xee\xdb", "rpm"), (b"070701", "cpio"), (b"070702", "cpio")]
     for magic, kind in starts:
@@ -77,8 +83,10 @@ def zip_members(data: bytes) -> Members:
             if not m.is_dir():
                 try:
                     yield m.filename, z.read(m)
-                except Exception:  # an entry that cannot be read is there all the same
-                    yield m.filename, b""
+                except Exception as error:  # an entry that cannot be read is there all the same
+                    nothing = Unreadable()
+                    nothing.why = f"{type(error).__name__}: {error}"
+                    yield m.filename, nothing
 
 
 def ar_members(data: bytes) -> Members:
@@ -254,23 +262,49 @@ def fat_members(data: bytes) -> Members:
     yield from walk(root, "", 0)
 
 
+#: The mark of the second vendor's containers, and the bounds of an archive and of one update of the first.
+CONTAINER_MARK, MAX_UPDATES, MAX_UPDATE_BYTES = b"DMA\0", 8192, 32 << 20
+
+
+def update_at(data: bytes, at: int) -> tuple[str, int]:
+    """Name and size of the update whose 48-byte header lies here; size 0 if it is none."""
+    if at + 48 > len(data):
+        return "", 0
+    version, revision, date, signature, _, loader, flags, body, total = struct.unpack_from("<9I", data, at)
+    size = total or 2048
+    sane = version == 1 and loader == 1 and flags < 256 and valid_date(date)
+    fits = size % 1024 == 0 and (body or 2000) + 48 <= size <= MAX_UPDATE_BYTES
+    return f"{signature:08x}-{revision:08x}-{flags:02x}", size if sane and fits else 0
+
+
+def container_at(data: bytes, at: int) -> tuple[str, int]:
+    """Name and size of the container whose mark lies here: sections of type 0 or 1, each with its size, up to the next mark or the end."""
+    end = at + 4 if data.startswith(CONTAINER_MARK, at) else len(data) + 1
+    while end < len(data) and not data.startswith(CONTAINER_MARK, end):
+        if end + 8 > len(data):
+            return "", 0
+        kind, size = struct.unpack_from("<II", data, end)
+        end = end + 8 + size if kind < 2 else len(data) + 1
+    return f"container-{at:08x}", end - at if end <= len(data) else 0
+
+
 def microcode_parts(data: bytes) -> list[tuple[str, bytes]]:
-    """Updates that lie end to end and fill the file exactly, each by the sizes in its header; else none."""
+    """Updates of either vendor that lie end to end and fill the file exactly, each by the sizes that it states; else none."""
+    part_at = container_at if data.startswith(CONTAINER_MARK) else update_at
     parts, at = [], 0
-    while at + 48 <= len(data):
-        version, revision, date, signature, _, loader, flags, body, total = struct.unpack_from("<9I", data, at)
-        size = total if body else 2048
-        if version != 1 or loader != 1 or size % 4 or size < 48 or at + size > len(data) or not valid_date(date):
+    while at < len(data):
+        name, size = part_at(data, at)
+        if not 0 < size <= len(data) - at or len(parts) == MAX_UPDATES:
             return []
-        parts.append((f"{signature:08x}-{revision:08x}-{flags:02x}", data[at : at + size]))
+        parts.append((name, data[at : at + size]))
         at += size
-    return parts if parts and at == len(data) else []
+    return parts
 
 
 def valid_date(packed: int) -> bool:
     """Month, day and year as decimal digits in half-bytes."""
     text = f"{packed:08x}"
-    return text.isdigit() and 1 <= int(text[:2]) <= 12 and 1 <= int(text[2:4]) <= 31 and 1990 <= int(text[4:]) <= 2100
+    return text.isdigit() and 1 <= int(text[:2]) <= 12 and 1 <= int(text[2:4]) <= 31 and 1990 <= int(text[4:]) <= 2099
 
 
 PARSERS: dict[str, Callable[[bytes], Members]] = {"tar": tar_members, "zip": zip_members, "ar": ar_members, "cpio": cpio_members, "iso9660": iso_members, "fat": fat_members, "microcode": lambda d: iter(microcode_parts(d)), "rpm": lambda d: iter([("payload", d[rpm_payload(d) :])])}
@@ -284,6 +318,9 @@ def walk(root: str, data: bytes, policy: str = "full", known: Callable[[str], bo
         if len(rows) >= MAX_MEMBERS:
             rows[0][-1] = f"cut off after {MAX_MEMBERS} members"
             return
+        if isinstance(content, Unreadable):
+            rows.append([root, len(rows), parent, ord_, depth, path, "file", *[None] * 7, content.why])
+            return
         kind, me = sniffed(content, name), len(rows)
         sha256 = hashlib.sha256(content).hexdigest()
         git = hashlib.sha1(b"blob %d\0" % len(content) + content).hexdigest()

@@ -57,6 +57,54 @@ def join_keys(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return table.join(asked, ["shard", key]).drop("shard")
 
 
+def folder(spark: SparkSession, path: str):
+    """The store's file system and its own form of a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def published(spark: SparkSession, staged: str, target: str) -> None:
+    """Puts a complete staged table in the place of the target. The one before goes aside first, and comes back if the swap fails."""
+    if revision(spark, staged) is None:
+        raise ValueError(f"{staged} has no {REVISION}: it was not written to the end")
+    fs, new = folder(spark, staged)
+    here, aside = folder(spark, target)[1], folder(spark, target + ".before")[1]
+    if fs.exists(here):
+        fs.delete(aside, True)
+        if not fs.rename(here, aside):
+            raise OSError(f"{target} cannot be put aside")
+    if not fs.rename(new, here):
+        if fs.exists(aside):
+            fs.rename(aside, here)
+        raise OSError(f"{staged} cannot be moved to {target}")
+    fs.delete(aside, True)
+
+
+def listed(spark: SparkSession, root: str) -> list[dict]:
+    """name, revision (none if not complete), files and bytes of each table in a folder, by name; none where there is no folder."""
+    fs, at = folder(spark, root)
+    found = []
+    for entry in fs.listStatus(at) if fs.exists(at) else []:
+        if entry.isDirectory():
+            name, whole = entry.getPath().getName(), fs.getContentSummary(entry.getPath())
+            found.append({"name": name, "revision": revision(spark, f"{root}/{name}"), "files": whole.getFileCount(), "bytes": whole.getLength()})
+    return sorted(found, key=lambda f: f["name"])
+
+
+def dropped(spark: SparkSession, root: str, name: str) -> bool:
+    """Removes one table of a folder, its marker first; whether it was there. A name that leads elsewhere is refused."""
+    if not name or "/" in name or name.startswith("."):
+        raise ValueError(f"{name!r} names no table")
+    fs, at = folder(spark, f"{root}/{name}")
+    fs.delete(folder(spark, f"{root}/{name}/{REVISION}")[1], True)
+    return fs.delete(at, True)
+
+
+def columns_of(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """A few columns, such as digests, of a columnar dump in ORC; the others are not read."""
+    return spark.read.orc(path).select(*columns)
+
+
 #: Datasets by the schemes that can be looked up in them.
 DATASETS = {
     "scholarly": ["md5", "sha1", "sha256"], "tarballs": ["md5", "sha256"], "census": ["md5", "sha1"], "debs": ["md5", "sha1", "sha256"],
